@@ -11,6 +11,8 @@ number less the number of longer pieces.
 from __future__ import annotations
 
 import bisect
+import functools
+import json
 import re
 import unicodedata
 import zlib
@@ -25,7 +27,7 @@ from .spark_tools import materialize, row_numbers
 
 CAPACITY = 4096
 END_ID = 1
-#: Words kept with their ids in a worker; the oldest table goes when it is full.
+#: Words kept with their ids in a worker, twice: when the table is full, it is the older one, of which words in use return.
 CACHE = 400_000
 BATCH_BYTES = 1 << 22
 
@@ -70,6 +72,11 @@ class WordIds:
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        suffix = json.loads(tokenizer_json)["model"]["end_of_word_suffix"]
+        self.closing = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closing[[i for piece, i in vocabulary.items() if piece.endswith(suffix)]] = True
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -79,7 +86,7 @@ class WordIds:
         split: list[list[str] | None] = []
         fresh: set[str] = set()
         if len(self.known) > CACHE:
-            self.known = {}
+            self.known, self.older = {}, self.known
         for text in texts:
             if _OTHER.search(text) or any(s in text for s in self.special):
                 split.append(None)
@@ -88,15 +95,28 @@ class WordIds:
                 split.append(found)
                 fresh.update(found)
         fresh.difference_update(self.known)
-        new = list(fresh)
+        again = fresh.intersection(self.older)
+        self.known.update((word, self.older[word]) for word in again)
+        new = list(fresh - again)
         for at in range(0, len(new), 10_000):
             part = new[at : at + 10_000]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(e.ids, "<u4").tobytes()
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.closing[ids]) + 1)).tolist()
+            body = ids.tobytes()
+            for word, a, b in zip(part, [0, *ends], ends, strict=False):
+                self.known[word] = body[a:b]
+            if len(ends) != len(part):
+                raise ValueError("the tokenizer doesn't end each word with one closing piece")
         get = self.known.__getitem__
         return [self._whole(t) if s is None else b"".join(map(get, s)) for t, s in zip(texts, split, strict=True)]
 
 
+@functools.lru_cache(maxsize=1)
+def _word_ids(tokenizer_json: str) -> WordIds:
+    """One table for all tasks of a worker process."""
+    return WordIds(tokenizer_json)
+
+
 def batches_by_bytes(column: pa.Array, limit: int = BATCH_BYTES) -> Iterator[tuple[int, list[str]]]:
     """Texts (null: empty) in runs of about `limit` bytes, each with its first row."""
     start, held, out = 0, 0, []
@@ -124,7 +144,7 @@ def pieces(
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        words = WordIds(model.value)
+        words = _word_ids(model.value)
         for batch in batches:
             for first, texts in batches_by_bytes(batch.column(1)):
                 rows, piece, start, length, crc, kept = [], [], [], [], [], []
