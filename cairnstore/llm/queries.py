@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, mixing, ngram_join, packing, quality, sharding, token_count
+from . import (
+    embedding_dedup,
+    license_scan,
+    mixing,
+    ngram_join,
+    packing,
+    quality,
+    sharding,
+    token_count,
+    topk_search,
+    url_filter,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +34,10 @@ def op1_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"), shards=8)
 
 
+def op2_spherical_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_table(spark, sf_dir, "documents"))
 
@@ -31,6 +46,14 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(_table(spark, sf_dir, "documents"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages"))
+
+
+def op6_m_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.search_embeddings(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -51,8 +74,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_feistel_shards,
+        op2_spherical_caps,
         op3_license_scan,
         op4_source_mix,
+        op5_url_filter,
+        op6_m_tree_top_k,
         op7_best_fit_packing,
         op8_token_counts,
         op9_ngram_jaccard,
