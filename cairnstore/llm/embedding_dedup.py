@@ -1,15 +1,17 @@
 """Embedding near-duplicates by spherical-cap filters.
 
-Filter directions are a structured random product code: the (randomly rotated)
-space is cut into two halves, each with its own random unit codewords, and a
-direction is a pair of them. A vector is decoded to the list of all directions
-whose product with it exceeds a threshold, without visiting the others: a
-codeword of the first half is looked at only if the best of the second could
-lift it above. Vectors are joined on filters and verified in double precision.
-
-The code's size follows from the number of vectors: the threshold keeps a random
-vector's chance of a filter at `bucket` / n, and there are as many directions as
-make a missed link at the similarity asked for rarer than `miss`.
+Filter directions come from structured random product codes: the randomly
+rotated space is cut into two halves, each with random unit codewords of its own,
+and a direction is a pair of them. A vector is decoded to the list of all
+directions whose product with it exceeds a threshold, without visiting the
+others: a codeword of the first half is looked at only if the best of the second
+could lift it above. Vectors are joined on filters and verified in double
+precision.
+
+There are several such codes, each with its own rotation, and their size follows
+from the number of vectors: the threshold keeps a random vector's chance of a
+filter at `bucket` / n, and there are as many directions as make a missed link at
+the similarity asked for rarer than `miss`.
 
 A linked pair is counted in the smallest filter that both have, so pairs are
 never listed: a bucket returns how many links each of its vectors has there and
@@ -31,6 +33,8 @@ from .spark_tools import broadcast_if_small, components, materialize, partitions
 
 #: Expected random vectors in a bucket, and the chance of a miss that the code is sized for.
 BUCKET, MISS = 48, 1e-4
+#: Independent product codes: how many directions of one code exceed varies between vectors, over many codes little.
+CODES = 16
 #: Vectors of a bucket compared at once; larger buckets are cut.
 BLOCK = 2048
 SMALL = 100_000
@@ -48,7 +52,7 @@ def _tail(u: float) -> float:
 
 
 def sizes(n: int, cosine: float, bucket: float = BUCKET, miss: float = MISS) -> tuple[float, int]:
-    """Threshold in standard deviations and codewords for each half."""
+    """Threshold in standard deviations, and codewords for each half of each code."""
     p = min(0.02, bucket / max(n, 1))
     low, high = 0.0, 10.0
     for _ in range(60):
@@ -59,14 +63,14 @@ def sizes(n: int, cosine: float, bucket: float = BUCKET, miss: float = MISS) ->
     side = math.sqrt(1 - cosine * cosine)
     both = float(np.sum(density * np.array([_tail((u - cosine * t) / side) for t in z])) * (z[1] - z[0])) / p
     lists = math.log(miss) / math.log(1 - min(both, 0.999))
-    return u, max(2, math.ceil(math.sqrt(lists / p)))
+    return u, max(2, math.ceil(math.sqrt(max(lists, CODES) / CODES / p)))
 
 
 class Code:
-    """The product code for one dimension."""
+    """A product code for one dimension."""
 
-    def __init__(self, dim: int, words: int, seed: int):
-        rng = np.random.default_rng([seed, dim, words])
+    def __init__(self, dim: int, words: int, seed: int, number: int):
+        rng = np.random.default_rng([seed, dim, words, number])
         self.half, self.words = max(1, dim // 2), words
         self.turn = np.linalg.qr(rng.standard_normal((dim, dim)))[0] if dim > 1 else np.ones((1, 1))
         parts = [rng.standard_normal((words, self.half)), rng.standard_normal((words, max(1, dim - self.half)))]
@@ -102,21 +106,24 @@ def filtered(classes: DataFrame, n: int, cosine: float, seed: int) -> DataFrame:
     u, words = sizes(n, cosine)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes: dict[int, Code] = {}
+        codes: dict[int, list[Code]] = {}
         for batch in batches:
             vectors = batch.column(2)
             lengths = vectors.value_lengths().to_numpy(zero_copy_only=False)
             flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
             starts = np.concatenate([[0], np.cumsum(lengths)])
             for dim in np.unique(lengths).tolist():
-                code = codes.setdefault(dim, Code(dim, words, seed))
+                if dim not in codes:
+                    codes[dim] = [Code(dim, words, seed, k) for k in range(CODES)]
                 chosen = np.flatnonzero(lengths == dim)
                 for a in range(0, len(chosen), 2048):
                     part = chosen[a : a + 2048]
                     x = flat[starts[part][:, None] + np.arange(dim)]
                     scaled = x / np.abs(x).max(axis=1, keepdims=True)
-                    rows, found = code.decode(scaled / np.linalg.norm(scaled, axis=1, keepdims=True), u)
-                    found = found + (dim << 40)
+                    unit = scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
+                    decoded = [code.decode(unit, u) for code in codes[dim]]
+                    rows = np.concatenate([r for r, _ in decoded])
+                    found = np.concatenate([f + (dim << 40 | k << 32) for k, (_, f) in enumerate(decoded)])
                     order = np.lexsort((found, rows))
                     rows, found = rows[order], found[order]
                     ends = np.searchsorted(rows, np.arange(len(part) + 1))
