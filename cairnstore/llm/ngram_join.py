@@ -387,3 +387,18 @@ def ngram_components(documents: DataFrame, k: int = 5, num: int = 80, den: int =
     out = full.join(named, F.col("class") == F.col("_class")).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     none = rows.where("class is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return out.unionByName(none)
+
+
+def without_near_copies(documents: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """documents without near copies: of each group of linked ones the row with the smallest doc_id stays.
+
+    Documents without words stay. Rows without a doc_id stay only if their group has
+    no other; of rows with one doc_id and text one stays.
+    """
+    groups = materialize(ngram_components(documents, k, num, den).select("doc_id", "component_id"))
+    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
+    total, ids = groups.agg(F.count(F.lit(1)), F.count_distinct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).first()
+    out = documents.join(broadcast_if_small(kept, total, SMALL), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    if ids < total:
+        out = out.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    return out

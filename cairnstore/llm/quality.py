@@ -219,9 +219,9 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: i
     return fit([np.frombuffer(r[1], "<i4") for r in rows], np.array([r[2] for r in rows]))
 
 
-def scored(documents: DataFrame, model: Model) -> DataFrame:
-    """documents with score (0 to 1), which replaces a column of that name."""
-    documents = documents.drop("score")
+def scored(documents: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """documents with the model's score (0 to 1) in a column of that name, which replaces one of documents."""
+    documents = documents.drop(name)
     shared = documents.sparkSession.sparkContext.broadcast(model)
     at = documents.columns.index("text")
 
@@ -230,10 +230,16 @@ def scored(documents: DataFrame, model: Model) -> DataFrame:
         with np.errstate(over="ignore"):
             for batch in batches:
                 scores = [m.score(x) for x in features(batch.column(at))]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, name])
 
     kept = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in documents.schema.fields)
-    return documents.mapInArrow(judge, f"{kept}, score double")
+    return documents.mapInArrow(judge, f"{kept}, `{name}` double")
+
+
+def accepted(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
+    """The rows of documents, with their own columns, whose score is `threshold` at least."""
+    out = scored(documents, train(documents, labels, sample), "_accepted_score")
+    return out.where(F.col("_accepted_score") >= threshold).drop("_accepted_score")
 
 
 def score_documents(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
