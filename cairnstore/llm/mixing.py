@@ -7,9 +7,9 @@ random odds u / (1 - u) over inclusion odds f / (1 - f), and taken in that order
 as long as they fit the source's target; of the others, the one document that
 best fills what is left follows.
 
-No source is gathered in one task: words are summed by narrow bands of the
-ranking first, and only the band in which the target falls is ranked document by
-document. What remains is one row per source, so the decision about a document
+No source is gathered in one task: words are summed by bands of the ranking
+first, then by narrower bands within the one in which the target falls, and only
+the documents of the last (about a millionth of a source) are ranked themselves. What remains is one row per source, so the decision about a document
 needs its own row and its source's row alone.
 """
 
@@ -22,8 +22,8 @@ from .spark_tools import broadcast_if_small, materialize, row_numbers
 
 #: Words are maximal runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Bands of the ranking for which words are summed first.
-BANDS = 1 << 16
+#: Bands of the ranking for which words are summed, and how often the band that matters is banded again.
+BANDS, LEVELS = 1 << 10, 2
 #: So many sources at most are broadcast; beyond, documents and sources meet in a shuffled join.
 SMALL = 50_000
 
@@ -75,16 +75,13 @@ def plan(drawn: DataFrame, weights: tuple[float, ...], share: float, most: float
     per = per.withColumn("whole", F.floor("_rate").cast("int")).withColumn("_f", F.col("_rate") - F.col("whole"))
     per = materialize(per.withColumn("_need", F.col("target") - F.col("whole") * F.col("source_size")))
     n = per.count()
-    small = broadcast_if_small(per.select(F.col("source").alias("_s"), "_need", "_f"), n, SMALL)
-    band = F.floor(F.col("u") * BANDS).cast("int")
-    bands = drawn.groupBy("source", band.alias("_band")).agg(F.sum("size").alias("_words"))
-    ordered = Window.partitionBy("source").orderBy("_band")
-    bands = bands.withColumn("_through", F.sum("_words").over(ordered)).join(small, F.col("source").eqNullSafe(F.col("_s")))
-    upto = F.col("_through") - F.col("_words")
-    turning = bands.where((F.col("_need") > 0) & (upto < F.col("_need")) & (F.col("_through") >= F.col("_need")))
-    turning = materialize(turning.select("_s", "_band", upto.alias("_upto"), "_need", "_f"))
+    turning = materialize(per.where("_need > 0").select(F.col("source").alias("_s"), "_need", "_f", F.lit(0.0).alias("_low"), F.lit(0.0).alias("_upto")))
+    for level in range(LEVELS):
+        turning = _narrowed(drawn, turning, n, float(BANDS) ** -level)
+    width = F.lit(float(BANDS) ** -LEVELS)
     turned = broadcast_if_small(turning, n, SMALL)
-    inside = drawn.withColumn("_b", band).join(turned, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_b") == F.col("_band")))
+    within = (F.col("u") >= F.col("_low")) & (F.col("u") < F.col("_low") + width)
+    inside = drawn.join(turned, F.col("source").eqNullSafe(F.col("_s")) & within)
     inside = inside.groupBy("_s", "_upto", "_need", "_f", "u").agg(F.sum("size").alias("_words"))
     odds = (F.col("u") / (1 - F.col("u"))) / (F.col("_f") / (1 - F.col("_f")))
     ranked = Window.partitionBy("_s").orderBy("_odds", "u")
@@ -93,8 +90,8 @@ def plan(drawn: DataFrame, weights: tuple[float, ...], share: float, most: float
     cuts = inside.groupBy("_s").agg(
         F.max(F.when(fits, F.col("u"))).alias("_in"), F.max(F.when(fits, F.col("_through"))).alias("_got")
     )
-    start = turning.select(F.col("_s").alias("_t"), (F.col("_band") / F.lit(float(BANDS))).alias("_low"), "_upto", "_need")
-    cuts = cuts.join(broadcast_if_small(start, n, SMALL), F.col("_s").eqNullSafe(F.col("_t")))
+    start = turning.select(F.col("_s").alias("_t"), "_low", "_upto", "_need")
+    cuts = start.join(broadcast_if_small(cuts, n, SMALL), F.col("_t").eqNullSafe(F.col("_s")), "left").drop("_s").withColumnRenamed("_t", "_s")
     gap = F.col("_need") - F.coalesce("_got", "_upto")
     cuts = materialize(cuts.select("_s", F.coalesce("_in", "_low").alias("_cut"), gap.alias("_gap")))
     rest = drawn.join(broadcast_if_small(cuts, n, SMALL), F.col("source").eqNullSafe(F.col("_s")))
@@ -109,6 +106,20 @@ def plan(drawn: DataFrame, weights: tuple[float, ...], share: float, most: float
     )
 
 
+def _narrowed(drawn: DataFrame, turning: DataFrame, n: int, width: float) -> DataFrame:
+    """For each source the band, of BANDS in [_low, _low + width), in which its words reach _need."""
+    step = width / BANDS
+    within = (F.col("u") >= F.col("_low")) & (F.col("u") < F.col("_low") + F.lit(width))
+    rows = drawn.join(broadcast_if_small(turning, n, SMALL), F.col("source").eqNullSafe(F.col("_s")) & within)
+    band = F.floor((F.col("u") - F.col("_low")) / F.lit(step)).cast("int")
+    bands = rows.groupBy("_s", "_need", "_f", "_low", "_upto", band.alias("_band")).agg(F.sum("size").alias("_words"))
+    ordered = Window.partitionBy("_s").orderBy("_band")
+    bands = bands.withColumn("_through", F.col("_upto") + F.sum("_words").over(ordered))
+    turns = (F.col("_through") - F.col("_words") < F.col("_need")) & (F.col("_through") >= F.col("_need"))
+    low = F.col("_low") + F.col("_band") * F.lit(step)
+    return materialize(bands.where(turns).select("_s", "_need", "_f", low.alias("_low"), (F.col("_through") - F.col("_words")).alias("_upto")))
+
+
 def _joined(df: DataFrame, per: DataFrame) -> DataFrame:
     """df (with source and u) beside its source's row; the extra columns start with an underscore."""
     small = per.select(*[F.col(c).alias(f"_{c}") for c in per.columns])
