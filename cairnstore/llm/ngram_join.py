@@ -6,17 +6,20 @@ are one class from the start, so exact copies cost nothing later.
 1.  Signatures: each document's set size and class, and a fixed-size count sketch
     of the corpus' n-grams, which gives one global order, rare n-grams first.
 2.  Prefix join: two sets as similar as asked share an n-gram within their
-    prefixes in that order. Prefix entries meet by n-gram; a task passes on one
-    leader for each n-gram and length band, so a hot n-gram has a row per task at
-    most. Entries of one n-gram are chained if their length bands touch (length
-    filter) and one of them is early enough in its document (positional filter).
-    What hangs together by these chains is a cluster: links never leave it.
-3.  Verification: a cluster's documents, sorted by length, are cut into blocks of
-    bounded size, and each pair of blocks whose lengths allow it is one unit of
-    work, so each pair of classes is looked at once. Within a unit, a bound from
-    counts by parts of the n-gram space (suffix filter) drops pairs, and the rest
-    are counted exactly through an inverted index. A unit returns a spanning
-    forest of its links, never all pairs.
+    prefixes in that order. Prefix entries meet by n-gram. Few documents at an
+    n-gram (CROWD at most, so their pairs grow with the entries) make candidate
+    pairs, if their lengths allow it (length filter) and the n-gram comes early
+    enough in one of them (positional filter). A candidate pair is dropped if their
+    counts by parts of the n-gram space, as many parts as a quarter of the
+    n-grams, leave no room for the overlap (suffix filter). At an n-gram with more
+    documents no pairs are made: a task passes on one leader for a crowd, and the
+    entries of one n-gram are chained if their length bands touch.
+3.  Verification: what hangs together by candidates and chains is a cluster, and
+    links never leave it. A cluster's documents, sorted by length, are cut into
+    blocks of bounded size, and each pair of blocks whose lengths allow it is one
+    unit of work, so each pair of classes is looked at once and counted exactly
+    through an inverted index. A unit returns a spanning forest of its links,
+    never all pairs.
 
 Components of the forests' edges are the groups. Links are never lost: the prefix
 argument holds for any global order, all filters are bounds, and no bucket,
@@ -41,6 +44,8 @@ SKETCH_BITS = 20
 _CHUNK = 1 << 12
 #: Prefix entries held by a task before they are contracted and passed on.
 HELD = 1 << 20
+#: More documents than this at one n-gram are chained, not paired.
+CROWD = 16
 #: Documents and n-grams in a block at most (a longer document is a block of its own).
 BLOCK_DOCS, BLOCK_NGRAMS = 1024, 1 << 21
 #: So many classes in clusters at most are broadcast to the scan that fetches their texts.
@@ -53,13 +58,31 @@ def _class_of(ngrams: np.ndarray) -> int:
     return int(mix((mix(ngrams).sum(dtype=np.uint64) ^ np.uint64(len(ngrams)))[None]).view(np.int64)[0])
 
 
+def _parts(ngrams: np.ndarray) -> np.ndarray:
+    """How many n-grams fall into each part of their space, 32 parts or more; 255 stands for 255 and more."""
+    bits = min(16, max(5, len(ngrams).bit_length() - 3))
+    counts = np.bincount((ngrams >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return np.minimum(counts, 255).astype(np.uint8)
+
+
+def _overlap_bound(a: np.ndarray, b: np.ndarray) -> int:
+    """The largest intersection that two documents' parts allow; parts of the finer one are summed to the other's."""
+    if len(a) > len(b):
+        a, b = b, a
+    if (b == 255).any() or (a == 255).any():
+        a, b = (np.where(x == 255, 1 << 40, x.astype(np.int64)) for x in (a, b))
+    else:
+        a, b = a.astype(np.int64), b.astype(np.int64)
+    return int(np.minimum(a, b.reshape(len(a), -1).sum(axis=1)).sum())
+
+
 def _least_overlap(a, b, num: int, den: int):
     """The smallest intersection with den * i >= num * (a + b - i)."""
     return -((-num * (a + b)) // (num + den))
 
 
 def signatures(documents: DataFrame, k: int) -> DataFrame:
-    """doc_id, n, class (null for an empty set) of every row; rows with a chunk hold the sketch's parts instead."""
+    """doc_id, n, class (null for an empty set) and parts of every row; rows with a chunk hold a part of the sketch instead."""
     kind = documents.schema["doc_id"].dataType
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,33 +90,35 @@ def signatures(documents: DataFrame, k: int) -> DataFrame:
         shift = np.uint64(64 - SKETCH_BITS)
         with np.errstate(over="ignore"):
             for batch in batches:
-                n, classes = [], []
+                n, classes, parts = [], [], []
                 ids_type = batch.column(0).type
                 for ngrams in shingle_sets(batch.column(1), k):
                     n.append(len(ngrams))
                     if not len(ngrams):
                         classes.append(None)
+                        parts.append(None)
                         continue
                     key = _class_of(ngrams)
                     classes.append(key)
+                    parts.append(_parts(ngrams).tobytes())
                     if key not in seen:
                         if len(seen) < HELD:
                             seen.add(key)
                         np.add.at(sketch, (ngrams >> shift).astype(np.int64), 1)
                 m = len(n)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(n, pa.int64()), pa.array(classes, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
-                    names=["doc_id", "n", "class", "chunk", "counts"],
+                    [batch.column(0), pa.array(n, pa.int64()), pa.array(classes, pa.int64()), pa.array(parts, pa.binary()), pa.nulls(m, pa.int32())],
+                    names=["doc_id", "n", "class", "parts", "chunk"],
                 )
         if sketch.any():
-            parts = np.minimum(sketch, 0xFFFFFFFF).astype("<u4").reshape(-1, _CHUNK)
-            m = len(parts)
+            chunks = np.minimum(sketch, 0xFFFFFFFF).astype("<u4").reshape(-1, _CHUNK)
+            m = len(chunks)
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(m, ids_type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(range(m), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())],
-                names=["doc_id", "n", "class", "chunk", "counts"],
+                [pa.nulls(m, ids_type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array([c.tobytes() for c in chunks], pa.binary()), pa.array(range(m), pa.int32())],
+                names=["doc_id", "n", "class", "parts", "chunk"],
             )
 
-    schema = f"doc_id {kind.simpleString()}, n long, class long, chunk int, counts binary"
+    schema = f"doc_id {kind.simpleString()}, n long, class long, parts binary, chunk int"
     return materialize(documents.select("doc_id", "text").mapInArrow(sign, schema))
 
 
@@ -109,7 +134,7 @@ def rarity(signed: DataFrame) -> np.ndarray:
         rank = [np.minimum(8 * np.log2(c + 1.0), 255).astype(np.uint8).tobytes() for c in held.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(rank, pa.binary())], names=["chunk", "rank"])
 
-    parts = signed.where("chunk is not null").select("chunk", "counts").repartition(16, "chunk").mapInArrow(total, "chunk int, rank binary")
+    parts = signed.where("chunk is not null").select("chunk", "parts").repartition(16, "chunk").mapInArrow(total, "chunk int, rank binary")
     out = np.zeros((1 << SKETCH_BITS) // _CHUNK * _CHUNK, np.uint8).reshape(-1, _CHUNK)
     for row in parts.collect():
         out[row["chunk"]] = np.frombuffer(row["rank"], np.uint8)
@@ -117,44 +142,47 @@ def rarity(signed: DataFrame) -> np.ndarray:
 
 
 def prefix_edges(documents: DataFrame, order: np.ndarray, k: int, num: int, den: int) -> DataFrame:
-    """Edges (a, b) between classes whose chains of shared prefix n-grams make up the clusters."""
+    """(a, b, pair): candidate pairs of classes (pair true) and chains of crowds (false)."""
     spark = documents.sparkSession
     ranks = spark.sparkContext.broadcast(order)
     width = math.log(den / num)
+    names = ["h", "n", "early", "crowd", "a", "b"]
+
+    def contract(held: list[tuple[np.ndarray, int, int, int]]) -> pa.RecordBatch:
+        lengths = [len(x[0]) for x in held]
+        h = np.concatenate([x[0] for x in held])
+        cls = np.repeat(np.array([x[1] for x in held], np.int64), lengths)
+        n = np.repeat(np.array([x[2] for x in held], np.int64), lengths)
+        early = np.concatenate([np.arange(len(x[0])) < x[3] for x in held])
+        band = (np.log(n) / width).astype(np.int64)
+        at = np.lexsort((band, h))
+        h, cls, n, early, band = h[at], cls[at], n[at], early[at], band[at]
+        first = np.ones(len(h), bool)
+        first[1:] = (h[1:] != h[:-1]) | (band[1:] != band[:-1])
+        lead = np.flatnonzero(first)
+        run = np.cumsum(first) - 1
+        crowd = np.diff(np.append(lead, len(h)))[run] > CROWD
+        leader = cls[lead][run]
+        any_early = np.maximum.reduceat(early.astype(np.int8), lead)[run]
+        keep = first | ~crowd
+        other = crowd & (cls != leader)
+        pairs = np.unique(np.stack([cls[other], leader[other]]), axis=1)
+        m = pairs.shape[1]
+        columns = [
+            np.concatenate([h[keep].view(np.int64), pairs[0]]),
+            np.concatenate([n[keep], np.zeros(m, np.int64)]),
+            np.concatenate([np.where(crowd, any_early, early)[keep].astype(np.int8), np.zeros(m, np.int8)]),
+            np.concatenate([crowd[keep].astype(np.int8), np.zeros(m, np.int8)]),
+            np.concatenate([cls[keep], pairs[0]]),
+            np.concatenate([np.zeros(int(keep.sum()), np.int64), pairs[1]]),
+        ]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, shift = ranks.value, np.uint64(64 - SKETCH_BITS)
         held: list[tuple[np.ndarray, int, int, int]] = []
         seen: set[int] = set()
         count = 0
-
-        def contract() -> pa.RecordBatch:
-            lengths = [len(x[0]) for x in held]
-            h = np.concatenate([x[0] for x in held])
-            cls = np.repeat(np.array([x[1] for x in held], np.int64), lengths)
-            band = np.repeat(np.array([x[2] for x in held], np.int32), lengths)
-            early = np.concatenate([np.arange(len(x[0])) < x[3] for x in held])
-            at = np.lexsort((band, h))
-            h, cls, band, early = h[at], cls[at], band[at], early[at]
-            first = np.ones(len(h), bool)
-            first[1:] = (h[1:] != h[:-1]) | (band[1:] != band[:-1])
-            lead = np.flatnonzero(first)
-            leader = cls[lead][np.cumsum(first) - 1]
-            any_early = np.maximum.reduceat(early.astype(np.int8), lead)
-            others = cls != leader
-            pairs = np.unique(np.stack([cls[others], leader[others]]), axis=1)
-            m = pairs.shape[1]
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([h[lead].view(np.int64), pairs[0]])),
-                    pa.array(np.concatenate([band[lead], np.full(m, -1, np.int32)])),
-                    pa.array(np.concatenate([any_early, np.zeros(m, np.int8)])),
-                    pa.array(np.concatenate([leader[lead], pairs[0]])),
-                    pa.array(np.concatenate([np.zeros(len(lead), np.int64), pairs[1]])),
-                ],
-                names=["h", "band", "early", "a", "b"],
-            )
-
         with np.errstate(over="ignore"):
             for batch in batches:
                 for ngrams in shingle_sets(batch.column(0), k):
@@ -174,49 +202,85 @@ def prefix_edges(documents: DataFrame, order: np.ndarray, k: int, num: int, den:
                         chosen = chosen[np.argsort(key[chosen])]
                     else:
                         chosen = np.argsort(key)
-                    held.append((ngrams[chosen], cls, int(math.log(n) / width), index))
+                    held.append((ngrams[chosen], cls, n, index))
                     count += probe
                     if count >= HELD:
-                        yield contract()
-                        held.clear()
-                        count = 0
+                        yield contract(held)
+                        held, count = [], 0
         if held:
-            yield contract()
-
-    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def edges(h: np.ndarray, band: np.ndarray, early: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-            done = band < 0
-            out_a, out_b = [a[done]], [b[done]]
-            h, band, early, a = h[~done], band[~done], early[~done], a[~done]
-            if len(h):
-                first = np.ones(len(h), bool)
-                first[1:] = h[1:] != h[:-1]
-                at = np.flatnonzero(first)
-                useful = np.maximum.reduceat(early, at)[np.cumsum(first) - 1] > 0
-                tie = ~first[1:] & useful[1:] & (band[1:] - band[:-1] <= 1) & (a[1:] != a[:-1])
-                out_a.append(a[1:][tie])
-                out_b.append(a[:-1][tie])
-            x, y = np.concatenate(out_a), np.concatenate(out_b)
-            pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+            yield contract(held)
 
+    def meet(h: np.ndarray, n: np.ndarray, early: np.ndarray, crowd: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        done = n == 0
+        chained, paired = [np.stack([a[done], b[done]])], [np.zeros((2, 0), np.int64)]
+        h, n, early, crowd, a = h[~done], n[~done], early[~done], crowd[~done], a[~done]
+        if len(h):
+            first = np.ones(len(h), bool)
+            first[1:] = h[1:] != h[:-1]
+            at = np.flatnonzero(first)
+            sizes = np.diff(np.append(at, len(h)))
+            crowded = (sizes > CROWD) | (np.maximum.reduceat(crowd, at) > 0)
+            useful = np.maximum.reduceat(early, at) > 0
+            group = np.cumsum(first) - 1
+            band = (np.log(n) / width).astype(np.int64)
+            tie = ~first[1:] & (useful & crowded)[group[1:]] & (band[1:] - band[:-1] <= 1)
+            chained.append(np.stack([a[1:][tie], a[:-1][tie]]))
+            for size in range(2, CROWD + 1):
+                of = at[(sizes == size) & useful & ~crowded]
+                if not len(of):
+                    continue
+                i, j = (of[:, None] + side for side in np.triu_indices(size, 1))
+                i, j = i.ravel(), j.ravel()
+                fit = (np.minimum(n[i], n[j]) * den >= np.maximum(n[i], n[j]) * num) & ((early[i] | early[j]) > 0)
+                paired.append(np.stack([a[i[fit]], a[j[fit]]]))
+        out = []
+        for found in (chained, paired):
+            x = np.concatenate(found, axis=1)
+            x = x[:, x[0] != x[1]]
+            out.append(np.unique(np.stack([np.minimum(*x), np.maximum(*x)]), axis=1))
+        pair = np.repeat([False, True], [x.shape[1] for x in out])
+        a, b = np.concatenate(out, axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(pair)], names=["a", "b", "pair"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] | None = None
         for batch in batches:
             now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             if kept is not None:
-                now = [np.concatenate(pair) for pair in zip(kept, now, strict=True)]
+                now = [np.concatenate(both) for both in zip(kept, now, strict=True)]
             if not len(now[0]):
                 continue
             last = int(np.searchsorted(now[0], now[0][-1], "left"))
             kept = [x[last:] for x in now]
             if last:
-                yield edges(*[x[:last] for x in now])
+                yield meet(*[x[:last] for x in now])
         if kept is not None and len(kept[0]):
-            yield edges(*kept)
+            yield meet(*kept)
+
+    found = documents.select("text").mapInArrow(entries, "h long, n long, early byte, crowd byte, a long, b long")
+    dealt = found.repartition(partitions(spark), "h").sortWithinPartitions("h", "n")
+    return materialize(dealt.mapInArrow(join, "a long, b long, pair boolean").distinct())
+
+
+def candidates(edges: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """The edges (a, b) that make clusters: chains, and the pairs whose parts leave room for a link."""
+    pairs = edges.where("pair").select("a", "b")
+    for side in ("a", "b"):
+        own = classes.select(F.col("class").alias(side), F.col("n").alias(f"n_{side}"), F.col("parts").alias(f"parts_{side}"))
+        pairs = pairs.join(own, side)
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            need = -((-num * n) // (num + den))
+            ok = [
+                _overlap_bound(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) >= least
+                for x, y, least in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), need, strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    found = documents.select("text").mapInArrow(entries, "h long, band int, early byte, a long, b long")
-    dealt = found.repartition(partitions(spark), "h").sortWithinPartitions("h", "band")
-    return materialize(dealt.mapInArrow(chain, "a long, b long"))
+    kept = pairs.select("a", "b", "n_a", "n_b", "parts_a", "parts_b").mapInArrow(fit, "a long, b long")
+    return materialize(kept.unionByName(edges.where("not pair").select("a", "b")))
 
 
 def verify(sets: list[np.ndarray], side: np.ndarray, num: int, den: int, every: bool = False) -> Iterator[tuple[int, int]]:
@@ -230,8 +294,9 @@ def verify(sets: list[np.ndarray], side: np.ndarray, num: int, den: int, every:
     unique, back, times = np.unique(flat, return_inverse=True, return_counts=True)
     posting = owner[np.argsort(back, kind="stable")]
     starts = np.concatenate([[0], np.cumsum(times)])
-    parts = np.zeros((len(sets), 32), np.int32)
-    np.add.at(parts, (owner, (flat >> np.uint64(59)).astype(np.int64)), 1)
+    bits = min(12, max(5, int(n.min()).bit_length() - 3))
+    parts = np.zeros((len(sets), 1 << bits), np.int32)
+    np.add.at(parts, (owner, (flat >> np.uint64(64 - bits)).astype(np.int64)), 1)
     at = np.concatenate([[0], np.cumsum(n)])
     parent = list(range(len(sets)))
 
@@ -281,10 +346,9 @@ def verify(sets: list[np.ndarray], side: np.ndarray, num: int, den: int, every:
             yield i, j
 
 
-def links(documents: DataFrame, signed: DataFrame, edges: DataFrame, k: int, num: int, den: int, every: bool = False) -> DataFrame:
+def links(documents: DataFrame, classes: DataFrame, edges: DataFrame, k: int, num: int, den: int, every: bool = False) -> DataFrame:
     """Verified links (a, b) between classes: spanning forests, or all links if asked for."""
     spark = documents.sparkSession
-    classes = signed.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
     clusters = components(edges)
     members = clusters.join(classes, clusters["node"] == classes["class"]).select("class", "doc_id", "n", F.col("component").alias("cluster"))
     numbered, count = row_numbers(members, [F.col("cluster"), F.col("n"), F.col("class")], "_number")
@@ -376,11 +440,13 @@ def ngram_components(documents: DataFrame, k: int = 5, num: int = 80, den: int =
     smallest unless its component has no other. Extra columns are ignored.
     """
     signed = signatures(documents, k)
-    edges = prefix_edges(documents, rarity(signed), k, num, den)
-    linked = components(links(documents, signed, edges, k, num, den))
     rows = signed.where("chunk is null")
     full = rows.where("class is not null")
-    classes = full.groupBy("class").agg(F.min("doc_id").alias("least"))
+    classes = full.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.any_value("parts").alias("parts"))
+    classes = materialize(classes)
+    edges = candidates(prefix_edges(documents, rarity(signed), k, num, den), classes, num, den)
+    linked = components(links(documents, classes, edges, k, num, den))
+    classes = classes.select("class", F.col("doc_id").alias("least"))
     joined = classes.join(linked, classes["class"] == linked["node"], "left").select("class", "least", "component")
     least = joined.where("component is not null").groupBy("component").agg(F.min("least").alias("of_all"))
     named = joined.join(least, "component", "left").select(F.col("class").alias("_class"), F.coalesce("of_all", "least").alias("component_id"))

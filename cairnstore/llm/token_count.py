@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .spark_tools import materialize
-from .wordhash import _power_tables, buffers, mix
+from .wordhash import _power_tables, buffers, mix, slices
 
 #: Pre-tokens whose counts are broadcast (12 bytes each).
 HEAD = 1 << 18
@@ -82,17 +82,6 @@ def pretokens(column: pa.Array, allowed: np.ndarray) -> tuple[np.ndarray, np.nda
     return h, begins, ends, np.searchsorted(bounds, begins, "right") - 1, data
 
 
-def slices(column: pa.Array, limit: int = _BYTES) -> Iterator[tuple[int, pa.Array]]:
-    """Stretches of the column of about `limit` bytes (one row at least), each with its first row."""
-    sizes = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
-    first = 0
-    while first < len(column):
-        before = sizes[first - 1] if first else 0
-        last = max(first + 1, int(np.searchsorted(sizes, before + limit, "right")))
-        yield first, column.slice(first, last - first)
-        first = last
-
-
 def token_counts(documents: DataFrame, model_path: str, limit: int = 4096, head: int = HEAD) -> DataFrame:
     """Per row of documents: doc_id, n_bytes, n_tokens and over_limit (n_tokens > limit).
 
@@ -118,7 +107,7 @@ def token_counts(documents: DataFrame, model_path: str, limit: int = 4096, head:
             )
 
         for batch in batches:
-            for _, part in slices(batch.column(0)):
+            for _, part in slices(batch.column(0), _BYTES):
                 h, begins, ends, _, data = pretokens(part, allowed)
                 unique, at, times = np.unique(h, return_index=True, return_counts=True)
                 body = data.tobytes()
@@ -157,7 +146,7 @@ def token_counts(documents: DataFrame, model_path: str, limit: int = 4096, head:
         known, value = common.value
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for first, part in slices(batch.column(1)):
+            for first, part in slices(batch.column(1), _BYTES):
                 n = len(part)
                 h, _, _, rows, _ = pretokens(part, allowed)
                 unique, back = np.unique(h, return_inverse=True)

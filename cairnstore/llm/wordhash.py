@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SHINGLE = np.uint64(0xD6E8FEB86659FD93)
@@ -127,8 +128,24 @@ def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, np.concatenate([[0], np.cumsum(counts)])
 
 
+def slices(column: pa.Array, limit: int = 1 << 22) -> Iterator[tuple[int, pa.Array]]:
+    """Stretches of a string column of about `limit` bytes (one row at least), each with its first row."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
+    first = 0
+    while first < len(column):
+        before = sizes[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(sizes, before + limit, "right")))
+        yield first, column.slice(first, last - first)
+        first = last
+
+
 def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
     """For each row its sorted distinct k-word shingles; fewer words make one shingle, none an empty set."""
+    for _, part in slices(column):
+        yield from _shingle_sets(part, k)
+
+
+def _shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
     h, at = words(column)
     rolled = h.copy()
     for j in range(1, k):
