@@ -1 +1 @@
-"""Functions of the blob store."""
+"""Scalar and Arrow functions of the blob store: chunking, hashing, parsing, sealing."""

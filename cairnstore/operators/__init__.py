@@ -1 +1 @@
-"""Operators of the blob store."""
+"""Relational operators of the blob store: DataFrame in, DataFrame out, no side effects."""

@@ -1 +1 @@
-"""Plans of the blob store."""
+"""Registered queries and the SQL that they are held against."""
