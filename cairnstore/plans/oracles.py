@@ -97,14 +97,14 @@ def _scenario() -> str:
 volumes AS (SELECT * FROM (VALUES {volumes}) t(ord, id, threshold, spare)),
 firsts AS (SELECT chunk_id, put_ord, len FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY put_ord, idx) AS k FROM slices) WHERE k = 1),
 puts AS (SELECT put_ord, CAST(sum(len) AS BIGINT) AS bytes FROM firsts GROUP BY put_ord),
-queue AS (SELECT put_ord, bytes, row_number() OVER (ORDER BY put_ord) AS n FROM puts),
+queue AS MATERIALIZED (SELECT put_ord, bytes, row_number() OVER (ORDER BY put_ord) AS n FROM puts),
 fold AS (
   SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS put_ord, CAST(NULL AS BIGINT) AS bytes, CAST(NULL AS INTEGER) AS k, {", ".join(f"{e} AS {r}" for e, r in zip(start.split(", "), rooms, strict=True))}
   UNION ALL
   SELECT n, put_ord, bytes, k, {left} FROM (
     SELECT q.n, q.put_ord, q.bytes, {", ".join("s." + r for r in rooms)}, CASE WHEN q.bytes > {most} THEN NULL {chosen} END AS k
     FROM fold s JOIN queue q ON q.n = s.n + 1)),
-plan AS (SELECT put_ord, bytes, CASE k {names} END AS vol FROM fold WHERE n > 0),
+plan AS MATERIALIZED (SELECT put_ord, bytes, CASE k {names} END AS vol FROM fold WHERE n > 0),
 segments AS (SELECT vol, 's' || lpad(CAST(put_ord AS VARCHAR), 9, '0') AS seg, put_ord, bytes FROM plan WHERE vol IS NOT NULL),
 store AS (SELECT vol, seg, chunk_id, len AS clen FROM firsts JOIN segments USING (put_ord)),
 refs AS (SELECT name, idx, chunk_id AS id, slices.len, clen, vol, seg FROM slices JOIN store USING (chunk_id)),
