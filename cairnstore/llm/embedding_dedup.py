@@ -95,15 +95,19 @@ class Code:
         return np.concatenate(found_rows), np.concatenate(found)
 
 
-def _unit(raw: bytes) -> np.ndarray:
-    x = np.frombuffer(raw, np.float64)
+def _unit(raw: bytes, kind: type) -> np.ndarray:
+    x = np.frombuffer(raw, kind).astype(np.float64)
     x = x / np.abs(x).max()
     return x / math.sqrt(float(x @ x))
 
 
-def filtered(classes: DataFrame, n: int, cosine: float, seed: int) -> DataFrame:
-    """(filter, class, copies, lists, vector) for each class and each of its filters; lists are all its filters."""
+def filtered(classes: DataFrame, n: int, cosine: float, seed: int, only: bool = False) -> DataFrame:
+    """(filter, class, copies, lists, vector) for each class and each of its filters; lists are all its filters.
+
+    Vectors are the bytes of their components in their own precision. With `only`, the filters alone.
+    """
     u, words = sizes(n, cosine)
+    single = classes.schema["embedding"].dataType.elementType.typeName() == "float"
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes: dict[int, list[Code]] = {}
@@ -124,11 +128,14 @@ def filtered(classes: DataFrame, n: int, cosine: float, seed: int) -> DataFrame:
                     decoded = [code.decode(unit, u) for code in codes[dim]]
                     rows = np.concatenate([r for r, _ in decoded])
                     found = np.concatenate([f + (dim << 40 | k << 32) for k, (_, f) in enumerate(decoded)])
+                    if only:
+                        yield pa.RecordBatch.from_arrays([pa.array(found)], names=["filter"])
+                        continue
                     order = np.lexsort((found, rows))
                     rows, found = rows[order], found[order]
                     ends = np.searchsorted(rows, np.arange(len(part) + 1))
                     lists = [found[ends[k] : ends[k + 1]].tobytes() for k in range(len(part))]
-                    bodies = [row.tobytes() for row in x]
+                    bodies = [row.tobytes() for row in (x.astype(np.float32) if single else x)]
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(found),
@@ -140,17 +147,16 @@ def filtered(classes: DataFrame, n: int, cosine: float, seed: int) -> DataFrame:
                         names=["filter", "class", "copies", "lists", "vector"],
                     )
 
-    return classes.select("class", "copies", "embedding").mapInArrow(
-        decode, "filter long, class long, copies long, lists binary, vector binary"
-    )
+    schema = "filter long" + ", class long, copies long, lists binary, vector binary" * (not only)
+    return classes.select("class", "copies", "embedding").mapInArrow(decode, schema)
 
 
-def _compare(f: int, rows: list[tuple], sides: np.ndarray | None, cosine: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
+def _compare(f: int, rows: list[tuple], sides: np.ndarray | None, cosine: float, kind: type) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """Links of each vector in a unit that no smaller filter has, weighed by copies, and a spanning forest of them.
 
     sides: which of two blocks each row is of, if the unit is a pair of blocks.
     """
-    x = np.stack([_unit(r[4]) for r in rows])
+    x = np.stack([_unit(r[4], kind) for r in rows])
     copies = np.array([r[2] for r in rows], np.int64)
     linked = x @ x.T >= cosine
     np.fill_diagonal(linked, False)
@@ -195,8 +201,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, seed: int = 0) ->
     good = rows.where("_ok")
     classes = good.groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"))
     classes = materialize(classes.select(F.xxhash64("embedding", F.size("embedding")).alias("class"), "least", "copies", "embedding"))
-    spread = materialize(filtered(classes, classes.count(), cosine, seed))
-    large = spread.groupBy("filter").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > BLOCK)
+    n = classes.count()
+    kind = np.float32 if classes.schema["embedding"].dataType.elementType.typeName() == "float" else np.float64
+    spread = filtered(classes, n, cosine, seed)
+    large = filtered(classes, n, cosine, seed, only=True).groupBy("filter").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > BLOCK)
     large = materialize(large.select(F.col("filter").alias("_f"), F.ceil(F.col("_n") / (BLOCK / 2)).cast("int").alias("_blocks")))
     dealt = spread.join(broadcast_if_small(large, large.count(), SMALL), F.col("filter") == F.col("_f"), "left")
     own = F.when(F.col("_blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("class"), F.col("_blocks")).cast("int"))
@@ -222,7 +230,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, seed: int = 0) ->
             if len(held) < 2:
                 return
             sides = np.array([r[5] for r in held]) if now[1] != now[2] else None
-            counts, forest = _compare(now[0], held, sides, cosine)
+            counts, forest = _compare(now[0], held, sides, cosine, kind)
             for k in np.flatnonzero(counts).tolist():
                 for column, value in zip(out, (held[k][1], int(counts[k]), None), strict=True):
                     column.append(value)
