@@ -1 +1 @@
-"""Streaming of the blob store."""
+"""Structured Streaming into and out of the store."""
