@@ -11,6 +11,7 @@ from . import (
     license_scan,
     mixing,
     ngram_join,
+    oracles,
     packing,
     quality,
     sharding,
@@ -86,4 +87,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = oracles.SQL
