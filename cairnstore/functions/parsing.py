@@ -59,3 +59,9 @@ def rate_limited(text: Column) -> Column:
 
 def fanout_path(chunk_id: Column) -> Column:
     return F.concat_ws("/", F.substring(chunk_id, 1, 2), F.substring(chunk_id, 3, 2), chunk_id)
+
+
+def says_rate_limited(text: str) -> bool:
+    """rate_limited() for an error that the driver holds."""
+    low = text.lower()
+    return any(sign in low for sign in RATE_LIMIT_SIGNS)

@@ -28,11 +28,13 @@ from pyspark.sql import functions as F
 
 from .files import Files
 from .functions import chunking, sealing
-from .functions.parsing import fanout_path
+from .functions.parsing import fanout_path, says_rate_limited
 from .operators import compaction, placement
 from .sources import schemas
 
 RETRIES = 32
+#: Rate-limited writes are tried again so often, after this many seconds doubled each time and a little more.
+PUSH_RETRIES, PUSH_WAIT, PUSH_JITTER = 5, 0.5, 0.25
 CHECKPOINT_INTERVAL = 128
 DEFAULT_THRESHOLD = 4 << 30
 #: Where a test may stop the engine.
@@ -98,7 +100,6 @@ class Config:
     volumes: tuple[Volume, ...] = (Volume("v0"),)
     sealed: bool = True
     version: int = sealing.FORMAT_VERSION
-    rotate_spare: bool = False
 
     def to_json(self) -> str:
         return json.dumps(asdict(self), sort_keys=True)
@@ -348,6 +349,17 @@ class Store:
             time.sleep(wait)
         self._last_push[vol] = time.monotonic()
 
+    def _pushed(self, vol: str, action: Callable[[], None], sleep: Callable[[float], None] = time.sleep) -> None:
+        """Do one write to a volume, throttled, and again after a while if its host says that it was too soon."""
+        for attempt in range(PUSH_RETRIES + 1):
+            self._throttle(vol)
+            try:
+                return action()
+            except Exception as e:
+                if attempt == PUSH_RETRIES or not says_rate_limited(str(e)):
+                    raise
+                sleep(PUSH_WAIT * 2**attempt + PUSH_JITTER * secrets.randbelow(1000) / 1000)
+
     def _sealed(self, files: DataFrame) -> DataFrame:
         if self.config.sealed:
             chunks = chunking.cdc_chunks(files, self.config.avg_size, self.keys.gear_seed, hashed=False)
@@ -419,9 +431,8 @@ class Store:
         at = f"manifests/{seg}-{secrets.token_hex(4)}"
         self.hook("before-segment")
         if vol:
-            self._throttle(vol)
             body = staged.join(fresh.select("chunk_id"), "chunk_id", "left_semi").dropDuplicates(["chunk_id"])
-            self._write_segment(body, vol, seg)
+            self._pushed(vol, lambda: self._write_segment(body, vol, seg))
         changed.write.parquet(self.files.path(at))
         self.hook("after-segment")
         if self.spark.read.schema(schemas.NAMESPACE).parquet(self.files.path(at)).isEmpty():
@@ -572,8 +583,7 @@ class Store:
                 rows = rows.dropDuplicates(["chunk_id"])
                 if rows.count() != count:
                     raise StoreError(f"{vol} lacks chunks that are referred to")
-                self._throttle(dest)
-                self._write_segment(rows, dest, seg)
+                self._pushed(dest, lambda: self._write_segment(rows, dest, seg))
             seals = [{"vol": dest, "seg": seg, "bytes": size}]
         self.hook("compact-after-rewrite")
         moved = self.chunk_store([(dest, seg)]).select(F.lit(vol).alias("vol"), F.col("chunk_id").alias("id")) if seg else None

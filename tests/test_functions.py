@@ -138,3 +138,14 @@ def test_keyfiles(tmp_path):
         (tmp_path / "bad").write_text(bad)
         with pytest.raises(ValueError):
             sealing.load_keyfile(str(tmp_path / "bad"))
+
+
+def test_table_function(spark):
+    from cairnstore.functions import udtf
+
+    udtf.register(spark)
+    files = spark.createDataFrame([("a", bytearray(noise(9000))), ("b", bytearray())], "name string, content binary")
+    files.createOrReplaceTempView("cdc_files")
+    got = spark.sql("SELECT f.name, c.* FROM cdc_files f, LATERAL cdc(f.content, 1024, 7) c")
+    want = chunking.cdc_chunks(files, 1024, 7, data=False)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))

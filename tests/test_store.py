@@ -287,3 +287,18 @@ def test_gates_from_the_environment(monkeypatch):
     monkeypatch.setenv("STORE_PRESSURE", "0.5")
     monkeypatch.setenv("STORE_MIN_INTERVAL", "soon")
     assert Gates.from_env() == Gates(pressure=0.5)
+
+
+def test_rate_limited_writes_back_off(spark, tmp_path):
+    s = make(spark, tmp_path / "s", sealed=False)
+    waits, errors = [], [OSError("HTTP 429"), OSError("Secondary Rate Limit")]
+
+    def write():
+        if errors:
+            raise errors.pop()
+
+    s._pushed("v0", write, waits.append)
+    assert len(waits) == 2 and 0.5 <= waits[0] < 0.75 and 1.0 <= waits[1] < 1.25
+    with pytest.raises(OSError, match="broken"):
+        s._pushed("v0", lambda: (_ for _ in ()).throw(OSError("broken pipe")), waits.append)
+    assert len(waits) == 2
