@@ -37,13 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .spark_tools import broadcast_if_small, components, materialize, partitions, row_numbers
-from .wordhash import mix, shingle_sets
+from .wordhash import mix, release_memory, shingle_sets
 
 #: Counters of the order's sketch: 2 ** SKETCH_BITS, one byte each when broadcast.
 SKETCH_BITS = 20
 _CHUNK = 1 << 12
 #: Prefix entries held by a task before they are contracted and passed on.
-HELD = 1 << 20
+HELD = 1 << 18
 #: More documents than this at one n-gram are chained, not paired.
 CROWD = 16
 #: Documents and n-grams in a block at most (a longer document is a block of its own).
@@ -117,6 +117,8 @@ def signatures(documents: DataFrame, k: int) -> DataFrame:
                 [pa.nulls(m, ids_type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array([c.tobytes() for c in chunks], pa.binary()), pa.array(range(m), pa.int32())],
                 names=["doc_id", "n", "class", "parts", "chunk"],
             )
+        del sketch, seen
+        release_memory()
 
     schema = f"doc_id {kind.simpleString()}, n long, class long, parts binary, chunk int"
     return materialize(documents.select("doc_id", "text").mapInArrow(sign, schema))
@@ -209,6 +211,8 @@ def prefix_edges(documents: DataFrame, order: np.ndarray, k: int, num: int, den:
                         held, count = [], 0
         if held:
             yield contract(held)
+        del held, seen
+        release_memory()
 
     def meet(h: np.ndarray, n: np.ndarray, early: np.ndarray, crowd: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         done = n == 0
@@ -389,6 +393,7 @@ def links(documents: DataFrame, classes: DataFrame, edges: DataFrame, k: int, nu
                             rows, size = [], 0
             if rows:
                 yield _rows(rows)
+        release_memory()
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: list[np.ndarray] = []
@@ -415,6 +420,8 @@ def links(documents: DataFrame, classes: DataFrame, edges: DataFrame, k: int, nu
                     sides.append(s)
         if len(sets) > 1:
             yield out()
+        sets = []
+        release_memory()
 
     fetched = got.mapInArrow(fetch, "unit long, side byte, class long, ngrams binary")
     dealt = fetched.repartition(partitions(spark), "unit").sortWithinPartitions("unit", "side", "class")

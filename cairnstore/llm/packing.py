@@ -24,12 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .spark_tools import materialize, row_numbers
+from .wordhash import release_memory
 
 CAPACITY = 4096
 END_ID = 1
 #: Words kept with their ids in a worker, twice: when the table is full, it is the older one, of which words in use return.
-CACHE = 400_000
-BATCH_BYTES = 1 << 22
+CACHE = 150_000
+BATCH_BYTES = 1 << 21
 
 #: The pre-tokenizer's contractions, in its order.
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
@@ -171,6 +172,7 @@ def pieces(
                     columns.append(pa.array(kept, pa.binary()))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+        release_memory()
 
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     return documents.select("doc_id", "text").mapInArrow(cut, schema)

@@ -8,6 +8,7 @@ they are equal on every executor and in every run.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ _SHINGLE = np.uint64(0xD6E8FEB86659FD93)
 _M1 = np.uint64(0xBF58476D1CE4E5B9)
 _M2 = np.uint64(0x94D049BB133111EB)
 #: Bytes hashed at once; a longer word stretches its segment.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -47,6 +48,15 @@ def _power_tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
+def release_memory() -> None:
+    """Give what a finished task held back to the system, since workers live on and share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser over 64-bit integers."""
     h = (h ^ (h >> np.uint64(30))) * _M1
