@@ -22,13 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .spark_tools import materialize
-from .wordhash import _power_tables, buffers, mix, slices
+from .wordhash import _power_tables, buffers, mix, release_memory, slices
 
 #: Pre-tokens whose counts are broadcast (12 bytes each).
 HEAD = 1 << 18
 #: Distinct pre-tokens held by a task before it passes them on.
-HELD = 1 << 20
-_BYTES = 1 << 21
+HELD = 1 << 18
+_BYTES = 1 << 20
 
 _BLANK, _FEED, _LETTER, _DIGIT, _MARK, _CONTROL, _WIDE = range(7)
 _CLASS = np.full(256, _MARK, np.uint8)
@@ -82,6 +82,19 @@ def pretokens(column: pa.Array, allowed: np.ndarray) -> tuple[np.ndarray, np.nda
     return h, begins, ends, np.searchsorted(bounds, begins, "right") - 1, data
 
 
+def _frequent(table: DataFrame, most: int) -> DataFrame:
+    """The rows of the most frequent pre-tokens, `most` at most: down to a frequency that a histogram of eighths of octaves gives."""
+    grade = F.floor(8 * F.log2("times"))
+    counts = sorted((tuple(r) for r in table.groupBy(grade).count().collect()), reverse=True)
+    held, least = 0, None
+    for g, n in counts:
+        held += n
+        if held > most:
+            break
+        least = g
+    return table.where(grade >= least) if least is not None else table.limit(0)
+
+
 def token_counts(documents: DataFrame, model_path: str, limit: int = 4096, head: int = HEAD) -> DataFrame:
     """Per row of documents: doc_id, n_bytes, n_tokens and over_limit (n_tokens > limit).
 
@@ -120,6 +133,8 @@ def token_counts(documents: DataFrame, model_path: str, limit: int = 4096, head:
                     yield out()
                     held.clear()
         yield out()
+        held.clear()
+        release_memory()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import sentencepiece
@@ -134,7 +149,7 @@ def token_counts(documents: DataFrame, model_path: str, limit: int = 4096, head:
     merged = texts.mapInArrow(distinct, "h long, pretoken binary, times long").groupBy("h")
     merged = merged.agg(F.min("pretoken").alias("pretoken"), F.sum("times").alias("times"))
     table = materialize(merged.mapInArrow(count, "h long, n long, times long"))
-    top = table.orderBy(F.desc("times"), "h").limit(head).select("h", "n").toArrow()
+    top = _frequent(table, head).select("h", "n").toArrow()
     keys = top.column("h").to_numpy().view(np.uint64)
     order = np.argsort(keys)
     common = spark.sparkContext.broadcast((keys[order], top.column("n").to_numpy()[order].astype(np.int32)))
