@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from ..operators.history import CHECKPOINT_INTERVAL
 
 SLICE = 1 << 10
+#: Tables of fewer bytes are dealt anew before their texts are worked on.
+SPREAD = 64 << 20
 #: A compaction every so many versions, half-way between; it never falls on a checkpoint's version.
 COMPACT_EVERY = 1000
 
@@ -24,6 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A small table dealt to all cores: its one file with one row group would keep one of them busy. Others are left as they are."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if size < SPREAD and cores > 1 else df
+
+
 def file_name(kind: str, number: Column) -> Column:
     return F.concat(F.lit(f"{kind}-"), F.lpad(number.cast("string"), 9, "0"))
 
@@ -31,12 +40,12 @@ def file_name(kind: str, number: Column) -> Column:
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """files(name, content, put_ord), one for each document."""
     content = F.coalesce("text", F.lit("")).cast("binary")
-    return table(spark, sf_dir, "documents").select(file_name("doc", F.col("doc_id")).alias("name"), content.alias("content"), F.col("doc_id").alias("put_ord"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(file_name("doc", F.col("doc_id")).alias("name"), content.alias("content"), F.col("doc_id").alias("put_ord"))
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = F.coalesce("html", F.lit("")).cast("binary")
-    return table(spark, sf_dir, "pages").select(file_name("page", F.col("page_id")).alias("name"), content.alias("content"))
+    return spread(table(spark, sf_dir, "pages").select("page_id", "html")).select(file_name("page", F.col("page_id")).alias("name"), content.alias("content"))
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
