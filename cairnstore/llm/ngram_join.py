@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .spark_tools import broadcast_if_small, components, materialize, partitions, row_numbers
-from .wordhash import mix, release_memory, shingle_sets
+from .wordhash import fresh_memory, mix, release_memory, shingle_sets
 
 #: Counters of the order's sketch: 2 ** SKETCH_BITS, one byte each when broadcast.
 SKETCH_BITS = 20
@@ -86,6 +86,7 @@ def signatures(documents: DataFrame, k: int) -> DataFrame:
     kind = documents.schema["doc_id"].dataType
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_memory()
         sketch, seen, ids_type = np.zeros(1 << SKETCH_BITS, np.int64), set(), None
         shift = np.uint64(64 - SKETCH_BITS)
         with np.errstate(over="ignore"):
@@ -181,6 +182,7 @@ def prefix_edges(documents: DataFrame, order: np.ndarray, k: int, num: int, den:
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_memory()
         rank, shift = ranks.value, np.uint64(64 - SKETCH_BITS)
         held: list[tuple[np.ndarray, int, int, int]] = []
         seen: set[int] = set()
@@ -376,6 +378,7 @@ def links(documents: DataFrame, classes: DataFrame, edges: DataFrame, k: int, nu
     got = texts.join(broadcast_if_small(wanted, count, SMALL), texts["doc_id"].eqNullSafe(F.col("_id"))).select("class", "units", "text")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_memory()
         for batch in batches:
             rows: list[tuple[int, int, int, bytes]] = []
             size = 0

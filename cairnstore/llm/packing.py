@@ -11,7 +11,6 @@ number less the number of longer pieces.
 from __future__ import annotations
 
 import bisect
-import functools
 import json
 import re
 import unicodedata
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .spark_tools import materialize, row_numbers
-from .wordhash import release_memory
+from .wordhash import kept, release_memory
 
 CAPACITY = 4096
 END_ID = 1
@@ -112,12 +111,6 @@ class WordIds:
         return [self._whole(t) if s is None else b"".join(map(get, s)) for t, s in zip(texts, split, strict=True)]
 
 
-@functools.lru_cache(maxsize=1)
-def _word_ids(tokenizer_json: str) -> WordIds:
-    """One table for all tasks of a worker process."""
-    return WordIds(tokenizer_json)
-
-
 def batches_by_bytes(column: pa.Array, limit: int = BATCH_BYTES) -> Iterator[tuple[int, list[str]]]:
     """Texts (null: empty) in runs of about `limit` bytes, each with its first row."""
     start, held, out = 0, 0, []
@@ -145,10 +138,10 @@ def pieces(
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        words = _word_ids(model.value)
+        words = kept(f"words {zlib.crc32(model.value.encode())}", lambda: WordIds(model.value))
         for batch in batches:
             for first, texts in batches_by_bytes(batch.column(1)):
-                rows, piece, start, length, crc, kept = [], [], [], [], [], []
+                rows, piece, start, length, crc, bodies = [], [], [], [], [], []
                 for k, ids in enumerate(words.encode(texts), first):
                     ids += end
                     for at in range(0, len(ids), 4 * capacity):
@@ -159,7 +152,7 @@ def pieces(
                         length.append(len(part) // 4)
                         crc.append(zlib.crc32(part))
                         if with_ids:
-                            kept.append(part)
+                            bodies.append(part)
                 columns = [
                     batch.column(0).take(pa.array(rows, pa.int64())),
                     pa.array(piece, pa.int32()),
@@ -169,7 +162,7 @@ def pieces(
                 ]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"]
                 if with_ids:
-                    columns.append(pa.array(kept, pa.binary()))
+                    columns.append(pa.array(bodies, pa.binary()))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
         release_memory()
@@ -256,8 +249,8 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             names = [c for i, c in enumerate(batch.schema.names) if i != at]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(sequence), pa.array(where)], names=[*names, "sequence_id", "offset"])
 
-    kept = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in parts.schema.fields)
-    return numbered.mapInArrow(place, f"{kept}, sequence_id long, offset long")
+    fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in parts.schema.fields)
+    return numbered.mapInArrow(place, f"{fields}, sequence_id long, offset long")
 
 
 def pack_documents(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .wordhash import _SPACE, _segments, buffers, mix
+from .wordhash import _SPACE, _segments, buffers, fresh_memory, mix, release_memory
 
 BITS = 18
 #: Labelled rows used for fitting, at most.
@@ -226,11 +226,13 @@ def scored(documents: DataFrame, model: Model, name: str = "score") -> DataFrame
     at = documents.columns.index("text")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_memory()
         m = shared.value
         with np.errstate(over="ignore"):
             for batch in batches:
                 scores = [m.score(x) for x in features(batch.column(at))]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, name])
+        release_memory()
 
     kept = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in documents.schema.fields)
     return documents.mapInArrow(judge, f"{kept}, `{name}` double")

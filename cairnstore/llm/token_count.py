@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .spark_tools import materialize
-from .wordhash import _power_tables, buffers, mix, release_memory, slices
+from .wordhash import _power_tables, buffers, fresh_memory, mix, release_memory, slices
 
 #: Pre-tokens whose counts are broadcast (12 bytes each).
 HEAD = 1 << 18
@@ -109,6 +109,7 @@ def token_counts(documents: DataFrame, model_path: str, limit: int = 4096, head:
     texts = documents.select("text")
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_memory()
         held: dict[int, list] = {}
 
         def out() -> pa.RecordBatch:

@@ -9,12 +9,14 @@ they are equal on every executor and in every run.
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+T = TypeVar("T")
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SHINGLE = np.uint64(0xD6E8FEB86659FD93)
 _M1 = np.uint64(0xBF58476D1CE4E5B9)
@@ -48,6 +50,23 @@ def _power_tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
+_kept: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable[[], T]) -> T:
+    """A table that a worker process keeps for the next tasks of its kind; it has one such table at a time."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
+def fresh_memory() -> None:
+    """At the start of a task that keeps nothing: drop what another kind of task kept."""
+    _kept.clear()
+    release_memory()
+
+
 def release_memory() -> None:
     """Give what a finished task held back to the system, since workers live on and share an executor's memory."""
     pa.default_memory_pool().release_unused()
