@@ -8,10 +8,14 @@ others: a codeword of the first half is looked at only if the best of the second
 could lift it above. Vectors are joined on filters and verified in double
 precision.
 
-There are several such codes, each with its own rotation, and their size follows
-from the number of vectors: the threshold keeps a random vector's chance of a
-filter at `bucket` / n, and there are as many directions as make a missed link at
-the similarity asked for rarer than `miss`.
+There are many such codes, each with its own rotation. Their size and number follow
+from the number of vectors of a length: the threshold is the exact spherical cap
+that a random vector is in with a chance of `bucket` / n, and as the codes are
+independent, a link is missed with the chance of one code to the power of their
+number. That chance is measured on pairs at the very similarity asked for, through
+codes of the size in use, and there are as many codes as bring it under `miss`.
+A vector without any filter gets the best direction of each code. Vectors of fewer
+than `SPACE` components are padded with zeros, which leaves cosines as they are.
 
 A linked pair is counted in the smallest filter that both have, so pairs are
 never listed: a bucket returns how many links each of its vectors has there and
@@ -31,10 +35,12 @@ from pyspark.sql import functions as F
 
 from .spark_tools import broadcast_if_small, components, materialize, partitions
 
-#: Expected random vectors in a bucket, and the chance of a miss that the code is sized for.
+#: Expected random vectors in a bucket, and the chance of a miss that the codes are sized for.
 BUCKET, MISS = 48, 1e-4
-#: Independent product codes: how many directions of one code exceed varies between vectors, over many codes little.
-CODES = 16
+#: Codes at most before their codewords are increased instead: low similarities need many directions.
+CODES = 128
+#: Least dimension of a code.
+SPACE = 16
 #: Vectors of a bucket compared at once; larger buckets are cut.
 BLOCK = 2048
 SMALL = 100_000
@@ -47,23 +53,43 @@ def usable(vector: str = "embedding") -> Column:
     return F.coalesce((F.size(x) > 0) & ~odd & F.exists(x, lambda v: v != 0), F.lit(False))
 
 
-def _tail(u: float) -> float:
-    return 0.5 * math.erfc(u / math.sqrt(2))
-
-
-def sizes(n: int, cosine: float, bucket: float = BUCKET, miss: float = MISS) -> tuple[float, int]:
-    """Threshold in standard deviations, and codewords for each half of each code."""
+def cap(dim: int, p: float) -> float:
+    """The least product with a direction that a random unit vector reaches with chance p."""
+    angle = np.linspace(0, math.pi, 200_001)
+    with np.errstate(divide="ignore"):
+        density = np.exp((dim - 2) * np.log(np.sin(angle).clip(0)))
+    below = np.cumsum(density)
+    return math.cos(float(np.interp(p, below / below[-1], angle)))
+
+
+def missed(dim: int, cosine: float, words: int, least: float) -> float:
+    """Chance that a random pair at this cosine has no filter of one code in common: measured, with two deviations more."""
+    rng = np.random.default_rng([dim, words])
+    trials, pairs = 64, 128
+    rates = []
+    for k in range(trials):
+        x, y = rng.standard_normal((2, pairs, dim))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        y -= (x * y).sum(axis=1, keepdims=True) * x
+        y *= math.sqrt(max(0.0, 1 - cosine * cosine)) / np.linalg.norm(y, axis=1, keepdims=True)
+        rows, found = Code(dim, words, 1, k).decode(np.concatenate([x, cosine * x + y]), least)
+        both, times = np.unique((rows % pairs) * words**2 + found, return_counts=True)
+        rates.append(1 - len(np.unique(both[times > 1] // words**2)) / pairs)
+    return float(np.mean(rates) + 2 * np.std(rates) / math.sqrt(trials))
+
+
+def sizes(n: int, cosine: float, dim: int, bucket: float = BUCKET, miss: float = MISS) -> tuple[float, int, int]:
+    """For n vectors of a length: threshold, codewords for each half of a code, and number of codes."""
+    space = max(dim, SPACE)
     p = min(0.02, bucket / max(n, 1))
-    low, high = 0.0, 10.0
-    for _ in range(60):
-        u = (low + high) / 2
-        low, high = (u, high) if _tail(u) > p else (low, u)
-    z = np.linspace(u, u + 8, 4001)
-    density = np.exp(-z * z / 2) / math.sqrt(2 * math.pi)
-    side = math.sqrt(1 - cosine * cosine)
-    both = float(np.sum(density * np.array([_tail((u - cosine * t) / side) for t in z])) * (z[1] - z[0])) / p
-    lists = math.log(miss) / math.log(1 - min(both, 0.999))
-    return u, max(2, math.ceil(math.sqrt(max(lists, CODES) / CODES / p)))
+    least, per = cap(space, p), 1.0
+    while True:
+        words = max(2, math.ceil(math.sqrt(per / p)))
+        rate = min(max(missed(space, cosine, words, least), 1e-4), 1 - 1e-6)
+        codes = math.ceil(math.log(miss) / math.log(rate))
+        if codes <= CODES or words > 1 << 13:
+            return least, words, codes
+        per *= 2
 
 
 class Code:
@@ -71,18 +97,24 @@ class Code:
 
     def __init__(self, dim: int, words: int, seed: int, number: int):
         rng = np.random.default_rng([seed, dim, words, number])
-        self.half, self.words = max(1, dim // 2), words
-        self.turn = np.linalg.qr(rng.standard_normal((dim, dim)))[0] if dim > 1 else np.ones((1, 1))
-        parts = [rng.standard_normal((words, self.half)), rng.standard_normal((words, max(1, dim - self.half)))]
+        self.half, self.words = dim // 2, words
+        self.turn = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
+        parts = [rng.standard_normal((words, self.half)), rng.standard_normal((words, dim - self.half))]
         self.parts = [p / np.linalg.norm(p, axis=1, keepdims=True) for p in parts]
 
-    def decode(self, x: np.ndarray, u: float) -> tuple[np.ndarray, np.ndarray]:
-        """(vector, filter) for every direction whose product exceeds u standard deviations."""
-        dim = x.shape[1]
+    def products(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         turned = x @ self.turn
-        first = turned[:, : self.half] @ self.parts[0].T
-        second = turned[:, self.half :] @ self.parts[1].T if dim > 1 else np.zeros((len(x), self.words))
-        least = u / math.sqrt(dim) * math.sqrt(2)
+        return turned[:, : self.half] @ self.parts[0].T, turned[:, self.half :] @ self.parts[1].T
+
+    def best(self, x: np.ndarray) -> np.ndarray:
+        """The filter of the direction nearest to each vector."""
+        first, second = self.products(x)
+        return first.argmax(axis=1).astype(np.int64) * self.words + second.argmax(axis=1)
+
+    def decode(self, x: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """(vector, filter) for every direction whose product with a unit vector is `least` or more."""
+        first, second = self.products(x)
+        least = least * math.sqrt(2)
         rows, i = np.nonzero(first + second.max(axis=1, keepdims=True) >= least)
         found_rows, found = [], []
         for a in range(0, len(rows), 1 << 13):
@@ -101,12 +133,27 @@ def _unit(raw: bytes, kind: type) -> np.ndarray:
     return x / math.sqrt(float(x @ x))
 
 
-def filtered(classes: DataFrame, n: int, cosine: float, seed: int, only: bool = False) -> DataFrame:
-    """(filter, class, copies, lists, vector) for each class and each of its filters; lists are all its filters.
+def filters_of(unit: np.ndarray, codes: list[Code], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(vector, code << 32 | filter) of unit vectors over all codes; a vector that exceeds nowhere has each code's best."""
+    room = codes[0].turn.shape[0] - unit.shape[1]
+    if room:
+        unit = np.pad(unit, ((0, 0), (0, room)))
+    decoded = [code.decode(unit, least) for code in codes]
+    rows = np.concatenate([r for r, _ in decoded])
+    found = np.concatenate([f + (k << 32) for k, (_, f) in enumerate(decoded)])
+    bare = np.flatnonzero(np.bincount(rows, minlength=len(unit)) == 0)
+    if len(bare):
+        rows = np.concatenate([rows, np.tile(bare, len(codes))])
+        found = np.concatenate([found, *(code.best(unit[bare]) + (k << 32) for k, code in enumerate(codes))])
+    return rows, found
+
+
+def filtered(classes: DataFrame, layout: dict[int, tuple[float, int, int]], seed: int, only: bool = False) -> DataFrame:
+    """(filter, class, copies, lists, vector) for each class and each of its filters; lists are its smaller filters.
 
+    layout: the sizes for each length of vectors.
     Vectors are the bytes of their components in their own precision. With `only`, the filters alone.
     """
-    u, words = sizes(n, cosine)
     single = classes.schema["embedding"].dataType.elementType.typeName() == "float"
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,31 +164,31 @@ def filtered(classes: DataFrame, n: int, cosine: float, seed: int, only: bool =
             flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
             starts = np.concatenate([[0], np.cumsum(lengths)])
             for dim in np.unique(lengths).tolist():
+                least, words, number = layout[dim]
                 if dim not in codes:
-                    codes[dim] = [Code(dim, words, seed, k) for k in range(CODES)]
+                    codes[dim] = [Code(max(dim, SPACE), words, seed, k) for k in range(number)]
                 chosen = np.flatnonzero(lengths == dim)
                 for a in range(0, len(chosen), 2048):
                     part = chosen[a : a + 2048]
                     x = flat[starts[part][:, None] + np.arange(dim)]
                     scaled = x / np.abs(x).max(axis=1, keepdims=True)
                     unit = scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
-                    decoded = [code.decode(unit, u) for code in codes[dim]]
-                    rows = np.concatenate([r for r, _ in decoded])
-                    found = np.concatenate([f + (dim << 40 | k << 32) for k, (_, f) in enumerate(decoded)])
+                    rows, found = filters_of(unit, codes[dim], least)
+                    found = found + (dim << 44)
                     if only:
                         yield pa.RecordBatch.from_arrays([pa.array(found)], names=["filter"])
                         continue
                     order = np.lexsort((found, rows))
                     rows, found = rows[order], found[order]
-                    ends = np.searchsorted(rows, np.arange(len(part) + 1))
-                    lists = [found[ends[k] : ends[k + 1]].tobytes() for k in range(len(part))]
+                    starts_at = np.searchsorted(rows, rows)
+                    lists = [found[s:e].tobytes() for e, s in enumerate(starts_at.tolist())]
                     bodies = [row.tobytes() for row in (x.astype(np.float32) if single else x)]
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(found),
                             batch.column(0).take(pa.array(part[rows])),
                             batch.column(1).take(pa.array(part[rows])),
-                            pa.array([lists[k] for k in rows], pa.binary()),
+                            pa.array(lists, pa.binary()),
                             pa.array([bodies[k] for k in rows], pa.binary()),
                         ],
                         names=["filter", "class", "copies", "lists", "vector"],
@@ -201,10 +248,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, seed: int = 0) ->
     good = rows.where("_ok")
     classes = good.groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"))
     classes = materialize(classes.select(F.xxhash64("embedding", F.size("embedding")).alias("class"), "least", "copies", "embedding"))
-    n = classes.count()
+    counts = classes.groupBy(F.size("embedding").alias("length")).count().collect()
+    layout = {r["length"]: sizes(r["count"], cosine, r["length"]) for r in counts}
     kind = np.float32 if classes.schema["embedding"].dataType.elementType.typeName() == "float" else np.float64
-    spread = filtered(classes, n, cosine, seed)
-    large = filtered(classes, n, cosine, seed, only=True).groupBy("filter").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > BLOCK)
+    spread = filtered(classes, layout, seed)
+    large = filtered(classes, layout, seed, only=True).groupBy("filter").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > BLOCK)
     large = materialize(large.select(F.col("filter").alias("_f"), F.ceil(F.col("_n") / (BLOCK / 2)).cast("int").alias("_blocks")))
     dealt = spread.join(broadcast_if_small(large, large.count(), SMALL), F.col("filter") == F.col("_f"), "left")
     own = F.when(F.col("_blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("class"), F.col("_blocks")).cast("int"))

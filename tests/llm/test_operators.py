@@ -425,6 +425,40 @@ def test_spherical_caps_in_blocks(spark, monkeypatch):
     assert sorted(map(str, embedding_dedup.near_duplicates(df).collect())) == whole
 
 
+def pairs_at(cosine, m, d, seed=0):
+    x, y = np.random.default_rng(seed).standard_normal((2, m, d))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    return x, cosine * x + math.sqrt(1 - cosine * cosine) * y / np.linalg.norm(y, axis=1, keepdims=True)
+
+
+def test_spherical_caps_find_pairs_at_the_threshold(spark):
+    x, y = pairs_at(0.9501, 3000, 64)
+    data = [(i, v) for i, v in enumerate(np.concatenate([x, y]).tolist())]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    assert embedding_dedup.near_duplicates(df).where("n_links > 0").count() >= 2 * 2998
+
+
+@pytest.mark.parametrize("d", [1, 2, 3, 5])
+def test_spherical_caps_of_short_vectors(spark, d):
+    x = np.random.default_rng(d).standard_normal((60, d))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    expected = ((unit @ unit.T >= 0.95).sum(axis=1) - 1).tolist()
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    assert [r["n_links"] for r in embedding_dedup.near_duplicates(df).orderBy("vec_id").collect()] == expected
+
+
+@pytest.mark.parametrize(("n", "cosine"), [(51_282, 0.95), (1_000_000, 0.95), (1_000_000, 0.97), (4_000_000, 0.95)])
+def test_spherical_codes_keep_their_recall_as_tables_grow(n, cosine):
+    least, words, number = embedding_dedup.sizes(n, cosine, 64)
+    codes = [embedding_dedup.Code(64, words, 0, k) for k in range(number)]
+    x, y = pairs_at(cosine, 4000, 64)
+    (a, f), (b, g) = (embedding_dedup.filters_of(v, codes, least) for v in (x, y))
+    both = set(zip(a.tolist(), f.tolist(), strict=True)) & set(zip(b.tolist(), g.tolist(), strict=True))
+    assert len({row for row, _ in both}) >= 3996
+    assert len(a) / len(x) <= 1.1 * number
+
+
 def test_m_tree_search(spark, monkeypatch):
     df, data = vectors(spark, 2)
     monkeypatch.setattr(topk_search, "BLOCK", 50)
