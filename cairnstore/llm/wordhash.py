@@ -177,7 +177,7 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
 def _shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
     h, at = words(column)
     rolled = h.copy()
-    for j in range(1, k):
+    for j in range(1, min(k, len(h))):
         rolled = rolled * _SHINGLE
         rolled[: len(h) - j] += h[j:]
     rolled = mix(rolled)

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -23,6 +24,7 @@ from cairnstore.llm import (
     token_count,
     topk_search,
     url_filter,
+    wordhash,
 )
 from cairnstore.llm.spark_tools import components, row_numbers
 
@@ -336,6 +338,16 @@ def test_ngram_components_of_odd_rows(docs, odd, empty):
     assert 5 in ids and not {6, 7} & set(ids) and ids.count(3) == 1
 
 
+@pytest.mark.parametrize("k", [4, 5])
+@pytest.mark.parametrize("text", ["two words", "just three words"])
+def test_a_short_document_alone_in_its_partition_has_one_shingle(spark, k, text):
+    alone = list(wordhash.shingle_sets(pa.array([None, text, ""]), k))
+    beside = list(wordhash.shingle_sets(pa.array([text, "a longer text of eight words beside it"]), k))
+    assert [len(s) for s in alone] == [0, 1, 0] and alone[1].tolist() == beside[0].tolist()
+    df = spark.createDataFrame([(7, text)], "doc_id long, text string").coalesce(1)
+    assert [tuple(r) for r in ngram_join.ngram_components(df, k).collect()] == [(7, 1, 7)]
+
+
 @pytest.mark.parametrize("every", [False, True])
 def test_verify_units(every):
     rng = np.random.default_rng(3)
