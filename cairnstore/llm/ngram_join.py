@@ -82,7 +82,7 @@ def _least_overlap(a, b, num: int, den: int):
 
 
 def signatures(documents: DataFrame, k: int) -> DataFrame:
-    """doc_id, n, class (null for an empty set) and parts of every row; rows with a chunk hold a part of the sketch instead."""
+    """doc_id, n, class (null for an empty set), parts and the text's hash (key) of every row; rows with a chunk hold a part of the sketch instead."""
     kind = documents.schema["doc_id"].dataType
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,21 +108,21 @@ def signatures(documents: DataFrame, k: int) -> DataFrame:
                         np.add.at(sketch, (ngrams >> shift).astype(np.int64), 1)
                 m = len(n)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(n, pa.int64()), pa.array(classes, pa.int64()), pa.array(parts, pa.binary()), pa.nulls(m, pa.int32())],
-                    names=["doc_id", "n", "class", "parts", "chunk"],
+                    [batch.column(0), pa.array(n, pa.int64()), pa.array(classes, pa.int64()), pa.array(parts, pa.binary()), pa.nulls(m, pa.int32()), batch.column(2)],
+                    names=["doc_id", "n", "class", "parts", "chunk", "key"],
                 )
         if sketch.any():
             chunks = np.minimum(sketch, 0xFFFFFFFF).astype("<u4").reshape(-1, _CHUNK)
             m = len(chunks)
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(m, ids_type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array([c.tobytes() for c in chunks], pa.binary()), pa.array(range(m), pa.int32())],
-                names=["doc_id", "n", "class", "parts", "chunk"],
+                [pa.nulls(m, ids_type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array([c.tobytes() for c in chunks], pa.binary()), pa.array(range(m), pa.int32()), pa.nulls(m, pa.int64())],
+                names=["doc_id", "n", "class", "parts", "chunk", "key"],
             )
         del sketch, seen
         release_memory()
 
-    schema = f"doc_id {kind.simpleString()}, n long, class long, parts binary, chunk int"
-    return materialize(documents.select("doc_id", "text").mapInArrow(sign, schema))
+    schema = f"doc_id {kind.simpleString()}, n long, class long, parts binary, chunk int, key long"
+    return materialize(documents.select("doc_id", "text", F.xxhash64("text")).mapInArrow(sign, schema))
 
 
 def rarity(signed: DataFrame) -> np.ndarray:
@@ -449,6 +449,11 @@ def ngram_components(documents: DataFrame, k: int = 5, num: int = 80, den: int =
     are rows of their own but share its number; a null doc_id is never the
     smallest unless its component has no other. Extra columns are ignored.
     """
+    return _grouped(documents, k, num, den).select("doc_id", "n_shingles", "component_id")
+
+
+def _grouped(documents: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The rows of ngram_components, each with its component's own number (group, null without words) and its text's hash (key)."""
     signed = signatures(documents, k)
     rows = signed.where("chunk is null")
     full = rows.where("class is not null")
@@ -459,9 +464,9 @@ def ngram_components(documents: DataFrame, k: int = 5, num: int = 80, den: int =
     classes = classes.select("class", F.col("doc_id").alias("least"))
     joined = classes.join(linked, classes["class"] == linked["node"], "left").select("class", "least", "component")
     least = joined.where("component is not null").groupBy("component").agg(F.min("least").alias("of_all"))
-    named = joined.join(least, "component", "left").select(F.col("class").alias("_class"), F.coalesce("of_all", "least").alias("component_id"))
-    out = full.join(named, F.col("class") == F.col("_class")).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    none = rows.where("class is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    named = joined.join(least, "component", "left").select(F.col("class").alias("_class"), F.coalesce("of_all", "least").alias("component_id"), F.coalesce("component", "class").alias("group"))
+    out = full.join(named, F.col("class") == F.col("_class")).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "group", "key")
+    none = rows.where("class is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("group"), "key")
     return out.unionByName(none)
 
 
@@ -469,12 +474,17 @@ def without_near_copies(documents: DataFrame, k: int = 5, num: int = 80, den: in
     """documents without near copies: of each group of linked ones the row with the smallest doc_id stays.
 
     Documents without words stay. Rows without a doc_id stay only if their group has
-    no other; of rows with one doc_id and text one stays.
+    no other; of rows with one doc_id and text one stays. Rows of one group that share
+    a doc_id but not a text are near copies too: the one with the least hash stays.
     """
-    groups = materialize(ngram_components(documents, k, num, den).select("doc_id", "component_id"))
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
+    groups = materialize(_grouped(documents, k, num, den).select("doc_id", "group", "key"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("_first")
+    kept = groups.where("group is not null").groupBy("group").agg(first).select("_first.doc_id", "_first.key")
+    kept = kept.unionByName(groups.where("group is null").select("doc_id", "key").distinct())
+    kept = kept.select(F.col("doc_id").alias("_kept"), F.col("key").alias("_key"))
     total, ids = groups.agg(F.count(F.lit(1)), F.count_distinct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).first()
-    out = documents.join(broadcast_if_small(kept, total, SMALL), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    same = F.col("doc_id").eqNullSafe(F.col("_kept")) & (F.col("_text") == F.col("_key"))
+    out = documents.withColumn("_text", F.xxhash64("text")).join(broadcast_if_small(kept, total, SMALL), same, "left_semi")
     if ids < total:
-        out = out.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
-    return out
+        out = out.dropDuplicates(["doc_id", "_text"])
+    return out.drop("_text")

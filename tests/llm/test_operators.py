@@ -348,6 +348,16 @@ def test_a_short_document_alone_in_its_partition_has_one_shingle(spark, k, text)
     assert [tuple(r) for r in ngram_join.ngram_components(df, k).collect()] == [(7, 1, 7)]
 
 
+def test_near_copies_go_by_row_not_by_doc_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (None, a + " more"), (None, ""), (None, c), (5, b), (5, b + " more"), (5, ""), (5, "another text of the same id")]
+    kept = ngram_join.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {(r["doc_id"], r["text"]) for r in kept.collect()}
+    either = got & {(5, b), (5, b + " more")}
+    assert len(either) == 1
+    assert got - either == {(1, a), (None, ""), (None, c), (5, ""), (5, "another text of the same id")}
+
+
 @pytest.mark.parametrize("every", [False, True])
 def test_verify_units(every):
     rng = np.random.default_rng(3)
