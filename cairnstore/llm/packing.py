@@ -15,7 +15,7 @@ import json
 import re
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +35,12 @@ BATCH_BYTES = 1 << 21
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 
 _LAST = 0x24F
-_ODD = {0x130, 0x85, 0x1C, 0x1D, 0x1E, 0x1F}
+_ODD = {0x85, 0x1C, 0x1D, 0x1E, 0x1F}
 
 
-def _ranges(kind: str) -> str:
-    """A character class body for the letters or numbers up to _LAST."""
-    at = [c for c in range(_LAST + 1) if unicodedata.category(chr(c))[0] == kind]
+def _ranges(wanted: Callable[[str], bool]) -> str:
+    """A character class body for the wanted characters up to _LAST."""
+    at = [c for c in range(_LAST + 1) if wanted(chr(c))]
     out, start = [], None
     for c in at:
         start = c if start is None else start
@@ -50,11 +50,12 @@ def _ranges(kind: str) -> str:
     return "".join(out)
 
 
-_L, _N, _S = _ranges("L"), _ranges("N"), r"\t-\r \xa0"
+_L, _N = (_ranges(lambda c, kind=kind: unicodedata.category(c)[0] == kind) for kind in "LN")
+_S = r"\t-\r \xa0"
 #: What the fast path splits at: for its characters the same as the tokenizer's own pattern.
 _WORDS = re.compile(f"{CONTRACTIONS}|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
-#: Characters for which the fast path isn't shown to agree (normal forms, case folding, odd white space).
-_OTHER = re.compile("[^" + "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in ((0, 0x1B), (0x20, 0x84), (0x86, 0x12F), (0x131, _LAST))) + "]")
+#: Characters for which the fast path isn't shown to agree: beyond _LAST, or lower-cased to beyond it, and odd white space.
+_OTHER = re.compile("[^" + _ranges(lambda c: ord(c) not in _ODD and max(map(ord, c.lower())) <= _LAST) + "]")
 
 
 class WordIds:

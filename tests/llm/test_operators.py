@@ -193,6 +193,38 @@ def test_packing_is_exact(docs, odd, empty):
     assert rows_of(packing.pack_documents(empty, path)) == []
 
 
+def test_word_ids_agree_with_the_tokenizer_for_every_code_point():
+    words = packing.WordIds(open(queries.tokenizer("word_bpe_49k.json"), encoding="utf-8").read())
+    points = [chr(c) for c in range(1, 0x10000) if not 0xD800 <= c < 0xE000]
+    texts = ["Əliyev Bakı", "Ɓala Ɗan", *(f"x{c}Y {c}1{c}'s {c}{c} end" for c in points)]
+    for at in range(0, len(texts), 8000):
+        part = texts[at : at + 8000]
+        want = words.tokenizer.encode_batch(part, add_special_tokens=False)
+        assert words.encode(part) == [np.array(w.ids, "<u4").tobytes() for w in want]
+
+
+def mixed_scripts(seed, n=300):
+    """Random texts of several scripts, marks, digits, odd spaces and special strings."""
+    rng = np.random.default_rng(seed)
+    blocks = [(0x20, 0x7F), (0x41, 0x5B), (0x61, 0x7B), (0xA0, 0x250), (0x300, 0x340), (0x370, 0x400), (0x400, 0x460), (0x5D0, 0x5EB), (0x620, 0x650), (0x900, 0x980), (0xE00, 0xE50), (0x2000, 0x2070), (0x2580, 0x2590), (0x3040, 0x30FF), (0x4E00, 0x4F00), (0xAC00, 0xAD00), (0xFB00, 0xFB10), (0x1F600, 0x1F640)]
+    out = []
+    for _ in range(n):
+        parts = []
+        for _ in range(int(rng.integers(1, 12))):
+            low, high = blocks[int(rng.integers(len(blocks)))]
+            parts.append("".join(map(chr, rng.integers(low, high, int(rng.integers(1, 9))))))
+            parts.append([" ", "", "\n", "  ", "\t", "<s>", "'ll", "12"][int(rng.integers(8))])
+        out.append("".join(parts))
+    return out
+
+
+def test_word_ids_agree_with_the_tokenizer_on_mixed_scripts():
+    words = packing.WordIds(open(queries.tokenizer("word_bpe_49k.json"), encoding="utf-8").read())
+    texts = mixed_scripts(0, 3000)
+    want = words.tokenizer.encode_batch(texts, add_special_tokens=False)
+    assert words.encode(texts) == [np.array(w.ids, "<u4").tobytes() for w in want]
+
+
 def test_pieces_keep_their_ids(spark):
     df = spark.createDataFrame([(1, "Hello, wörld! " * 3000)], "doc_id long, text string")
     rows = sorted(rows_of(packing.pieces(df, queries.tokenizer("word_bpe_49k.json"), with_ids=True)), key=lambda r: r["piece"])
