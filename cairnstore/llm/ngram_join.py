@@ -93,7 +93,7 @@ def signatures(documents: DataFrame, k: int) -> DataFrame:
             for batch in batches:
                 n, classes, parts = [], [], []
                 ids_type = batch.column(0).type
-                for ngrams in shingle_sets(batch.column(1), k):
+                for ngrams, _ in shingle_sets(batch.column(1), k):
                     n.append(len(ngrams))
                     if not len(ngrams):
                         classes.append(None)
@@ -189,7 +189,7 @@ def prefix_edges(documents: DataFrame, order: np.ndarray, k: int, num: int, den:
         count = 0
         with np.errstate(over="ignore"):
             for batch in batches:
-                for ngrams in shingle_sets(batch.column(0), k):
+                for ngrams, _ in shingle_sets(batch.column(0), k):
                     n = len(ngrams)
                     if not n:
                         continue
@@ -384,7 +384,7 @@ def links(documents: DataFrame, classes: DataFrame, edges: DataFrame, k: int, nu
             size = 0
             names = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), shingle_sets(batch.column(2), k), strict=True)
             with np.errstate(over="ignore"):
-                for cls, units, ngrams in names:
+                for cls, units, (ngrams, _) in names:
                     if not len(ngrams) or _class_of(ngrams) != cls:
                         continue
                     body = ngrams.tobytes()

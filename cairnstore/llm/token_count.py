@@ -8,7 +8,8 @@ count is then the sum of its pre-tokens' counts, and no ids are made.
 
 Each distinct pre-token is segmented once. Counts of the most frequent ones, a
 fixed number, are broadcast; per-document frequencies of all others are joined
-to the table of counts by a 64-bit fingerprint, so no key of that join is hot.
+to the table of counts by two independent 64-bit fingerprints, so no key of that
+join is hot and two pre-tokens that share one fingerprint keep counts of their own.
 """
 
 from __future__ import annotations
@@ -22,9 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .spark_tools import materialize
-from .wordhash import _power_tables, buffers, fresh_memory, mix, release_memory, slices
+from .wordhash import buffers, fingerprints, fresh_memory, mix, release_memory, slices
 
-#: Pre-tokens whose counts are broadcast (12 bytes each).
+#: Pre-tokens whose counts are broadcast (20 bytes each).
 HEAD = 1 << 18
 #: Distinct pre-tokens held by a task before it passes them on.
 HELD = 1 << 18
@@ -58,28 +59,30 @@ def cuts(model: bytes) -> np.ndarray:
     return allowed
 
 
-def pretokens(column: pa.Array, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Fingerprint, first byte, end and row of every pre-token of the column, and the bytes they point into.
+def pretokens(column: pa.Array, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Both fingerprints, first byte, end and row of every pre-token of the column, and the bytes they point into.
 
     The model puts a blank before a text and takes U+2581 for a blank; both are done here. Empty texts have none.
     """
     column = pc.fill_null(column, "")
     column = pc.if_else(pc.equal(column, ""), "", pc.binary_join_element_wise("", pc.replace_substring(column, "▁", " "), " "))
     data, bounds = buffers(column)
-    if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), data
     kinds = _CLASS[data]
     start = np.ones(len(data), bool)
     start[1:] = allowed[kinds[:-1], kinds[1:]]
     start[bounds[:-1][bounds[:-1] < len(data)]] = True
     begins = np.flatnonzero(start)
-    ends = np.append(begins[1:], len(data))
-    power, inverse = _power_tables(len(data))
-    total = np.empty(len(data) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=total[1:])
-    h = mix((total[ends] - total[begins]) * inverse[begins] + (ends - begins).astype(np.uint64))
-    return h, begins, ends, np.searchsorted(bounds, begins, "right") - 1, data
+    ends = np.append(begins[1:], len(data)) if len(begins) else begins
+    h, other = fingerprints(data, begins, ends)
+    return h, other, begins, ends, np.searchsorted(bounds, begins, "right") - 1, data
+
+
+def distinct_of(h: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of fingerprints: where each is first, which each row has, and how often it occurs."""
+    _, at, back, times = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+    if (other[at][back] != other).any():
+        _, at, back, times = np.unique(np.stack([h, other], axis=1), axis=0, return_index=True, return_inverse=True, return_counts=True)
+    return at, back.reshape(-1), times
 
 
 def _frequent(table: DataFrame, most: int) -> DataFrame:
@@ -111,28 +114,33 @@ def token_counts(documents: DataFrame, model_path: str, limit: int = 4096, head:
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh_memory()
         held: dict[int, list] = {}
+        clash: list[list] = []
 
         def out() -> pa.RecordBatch:
-            keys = np.fromiter(held, np.uint64, len(held)).view(np.int64)
-            values = list(held.values())
+            values = [*([key, *v] for key, v in held.items()), *clash]
+            h, other = (pa.array(np.array([v[i] for v in values], np.uint64).view(np.int64)) for i in (0, 1))
             return pa.RecordBatch.from_arrays(
-                [pa.array(keys), pa.array([v[0] for v in values], pa.binary()), pa.array([v[1] for v in values], pa.int64())],
-                names=["h", "pretoken", "times"],
+                [h, other, pa.array([v[2] for v in values], pa.binary()), pa.array([v[3] for v in values], pa.int64())],
+                names=["h", "other", "pretoken", "times"],
             )
 
         for batch in batches:
             for _, part in slices(batch.column(0), _BYTES):
-                h, begins, ends, _, data = pretokens(part, allowed)
-                unique, at, times = np.unique(h, return_index=True, return_counts=True)
+                h, other, begins, ends, _, data = pretokens(part, allowed)
+                at, _, times = distinct_of(h, other)
                 body = data.tobytes()
-                for key, b, e, n in zip(unique.tolist(), begins[at].tolist(), ends[at].tolist(), times.tolist(), strict=True):
-                    if key in held:
-                        held[key][1] += n
+                for key, check, b, e, n in zip(*(x.tolist() for x in (h[at], other[at], begins[at], ends[at], times)), strict=True):
+                    now = held.get(key)
+                    if now is None:
+                        held[key] = [check, body[b:e], n]
+                    elif now[0] == check:
+                        now[2] += n
                     else:
-                        held[key] = [body[b:e], n]
-                if len(held) > HELD:
+                        clash.append([key, check, body[b:e], n])
+                if len(held) + len(clash) > HELD:
                     yield out()
                     held.clear()
+                    clash.clear()
         yield out()
         held.clear()
         release_memory()
@@ -143,31 +151,32 @@ def token_counts(documents: DataFrame, model_path: str, limit: int = 4096, head:
         sp = sentencepiece.SentencePieceProcessor(model_proto=model.value)
         extra = len(sp.encode("\n"))
         for batch in batches:
-            strings = ["\n" + x.decode() for x in batch.column(1).to_pylist()]
+            strings = ["\n" + x.decode() for x in batch.column(2).to_pylist()]
             n = np.fromiter(map(len, sp.encode(strings, num_threads=1)), np.int64, len(strings)) - extra
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), batch.column(2)], names=["h", "n", "times"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), batch.column(3)], names=["h", "other", "n", "times"])
 
-    merged = texts.mapInArrow(distinct, "h long, pretoken binary, times long").groupBy("h")
+    merged = texts.mapInArrow(distinct, "h long, other long, pretoken binary, times long").groupBy("h", "other")
     merged = merged.agg(F.min("pretoken").alias("pretoken"), F.sum("times").alias("times"))
-    table = materialize(merged.mapInArrow(count, "h long, n long, times long"))
-    top = _frequent(table, head).select("h", "n").toArrow()
-    keys = top.column("h").to_numpy().view(np.uint64)
-    order = np.argsort(keys)
-    common = spark.sparkContext.broadcast((keys[order], top.column("n").to_numpy()[order].astype(np.int32)))
+    table = materialize(merged.mapInArrow(count, "h long, other long, n long, times long"))
+    top = _frequent(table, head).select("h", "other", "n").toArrow()
+    keys, others = (top.column(c).to_numpy().view(np.uint64) for c in ("h", "other"))
+    _, order = np.unique(keys, return_index=True)
+    common = spark.sparkContext.broadcast((keys[order], others[order], top.column("n").to_numpy()[order].astype(np.int32)))
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        known, value = common.value
+        known, second, value = common.value
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             for first, part in slices(batch.column(1), _BYTES):
                 n = len(part)
-                h, _, _, rows, _ = pretokens(part, allowed)
-                unique, back = np.unique(h, return_inverse=True)
+                h, other, _, _, rows, _ = pretokens(part, allowed)
+                first_at, back, _ = distinct_of(h, other)
+                unique, check = h[first_at], other[first_at]
                 at = np.minimum(np.searchsorted(known, unique), max(len(known) - 1, 0))
-                hit = known[at] == unique if len(known) else np.zeros(len(unique), bool)
+                hit = (known[at] == unique) & (second[at] == check) if len(known) else np.zeros(len(unique), bool)
                 worth = np.where(hit, value[at] if len(known) else 0, 0)
                 found = np.bincount(rows, weights=worth[back], minlength=n).astype(np.int64)
                 rest = ~hit[back]
@@ -179,19 +188,20 @@ def token_counts(documents: DataFrame, model_path: str, limit: int = 4096, head:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.concatenate([spread, unique[pair[1]].view(np.int64)])),
+                        pa.array(np.concatenate([np.zeros(n, np.int64), check[pair[1]].view(np.int64)])),
                         pa.array(np.concatenate([ids, ids[pair[0]]])),
                         pa.array(np.concatenate([np.zeros(n, np.int32), times.astype(np.int32)])),
                         pa.concat_arrays([batch.column(0).slice(first, n), pa.nulls(m, batch.column(0).type)]),
                         pa.concat_arrays([size, pa.nulls(m, pa.int64())]),
                         pa.array(np.concatenate([found, np.zeros(m, np.int64)])),
                     ],
-                    names=["h", "row", "times", "doc_id", "n_bytes", "found"],
+                    names=["h", "other", "row", "times", "doc_id", "n_bytes", "found"],
                 )
                 row += n
 
-    schema = f"h long, row long, times int, doc_id {kind}, n_bytes long, found long"
+    schema = f"h long, other long, row long, times int, doc_id {kind}, n_bytes long, found long"
     rows = documents.select("doc_id", "text").mapInArrow(frequencies, schema)
-    joined = rows.join(table.select("h", "n"), "h", "left")
+    joined = rows.join(table.select("h", "other", "n"), ["h", "other"], "left")
     tokens = F.sum(F.col("found") + F.col("times") * F.coalesce("n", F.lit(0)))
     summed = joined.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), tokens.alias("n_tokens"))
     return summed.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -1,14 +1,20 @@
-"""Vectorised 64-bit word and shingle fingerprints over Arrow string columns.
+"""Vectorised word and shingle fingerprints over Arrow string columns, two independent ones of 64 bits each.
 
 Everything works on the contiguous UTF-8 buffer of an Arrow array, a bounded
 segment at a time, so memory follows the segment size and the number of words,
 not the size of a batch. Fingerprints depend only on the bytes of the words:
 they are equal on every executor and in every run.
+
+A word is read in lanes of eight bytes. Each lane goes into both states through
+bijections of their own, so words of up to eight bytes and one length never share
+a fingerprint, and there is no structure by which longer ones would. Words of more
+than LONG bytes are hashed by BLAKE2b.
 """
 
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Callable, Iterator
 from typing import TypeVar
 
@@ -17,10 +23,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 T = TypeVar("T")
-_BASE = 0x9E3779B97F4A7C15 | 1
-_SHINGLE = np.uint64(0xD6E8FEB86659FD93)
+_SHINGLES = np.array([0xD6E8FEB86659FD93, 0xA3B195354A39B70D], np.uint64)
 _M1 = np.uint64(0xBF58476D1CE4E5B9)
 _M2 = np.uint64(0x94D049BB133111EB)
+_N1 = np.uint64(0xFF51AFD7ED558CCD)
+_N2 = np.uint64(0xC4CEB9FE1A85EC53)
+_SEEDS = np.array([0x9E3779B97F4A7C15, 0x8EBC6AF09C88C6E3], np.uint64)
+#: The low bytes of a lane that belong to a word of which so many are left.
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Longer words are hashed one by one.
+LONG = 256
 #: Bytes hashed at once; a longer word stretches its segment.
 SEGMENT = 1 << 18
 
@@ -30,26 +42,6 @@ _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power_tables(n: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, n at least."""
-    if len(_powers[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        inverse = pow(_BASE, -1, 1 << 64)
-        for k, base in enumerate((_BASE, inverse)):
-            table = np.empty(size, np.uint64)
-            table[0], have = 1, 1
-            while have < size:
-                step = np.uint64(pow(base, have, 1 << 64))
-                take = min(have, size - have)
-                table[have : have + take] = table[:take] * step
-                have += take
-            _powers[k] = table
-    return _powers
-
-
 _kept: dict[str, object] = {}
 
 
@@ -83,6 +75,41 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def mix_other(h: np.ndarray) -> np.ndarray:
+    """Another bijective finaliser."""
+    h = (h ^ (h >> np.uint64(33))) * _N1
+    h = (h ^ (h >> np.uint64(33))) * _N2
+    return h ^ (h >> np.uint64(33))
+
+
+def fingerprints(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two fingerprints of each stretch data[begin:end]."""
+    size = ends - begins
+    first = mix(size.astype(np.uint64) * _SHINGLES[0] + _SEEDS[0])
+    second = mix_other(size.astype(np.uint64) * _SHINGLES[1] + _SEEDS[1])
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    lanes = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    large = np.flatnonzero(size > LONG)
+    now = np.flatnonzero(size <= LONG) if len(large) else None
+    at, left = (begins, size) if now is None else (begins[now], size[now])
+    while len(at):
+        lane = lanes[at] & _MASKS[np.minimum(left, 8)]
+        if now is None:
+            first, second = mix(first ^ lane), mix_other(second + lane * _SHINGLES[1])
+            now = np.flatnonzero(left > 8)
+            more = now
+        else:
+            first[now], second[now] = mix(first[now] ^ lane), mix_other(second[now] + lane * _SHINGLES[1])
+            more = np.flatnonzero(left > 8)
+            now = now[more]
+        at, left = at[more] + 8, left[more] - 8
+    for i in large.tolist():
+        digest = hashlib.blake2b(data[begins[i] : ends[i]], digest_size=16).digest()
+        first[i], second[i] = np.frombuffer(digest, "<u8")
+    return first, second
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and row bounds of a string column; nulls count as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -123,10 +150,11 @@ def _segments(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int]]
         start = stop
 
 
-def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints of all white-space-separated words, A-Z lower-cased, and row bounds into them."""
+def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both fingerprints of all white-space-separated words, A-Z lower-cased, and row bounds into them."""
     data, bounds = buffers(column)
-    hashes, counts = [], np.zeros(len(bounds) - 1, np.int64)
+    found: tuple[list, list] = ([], [])
+    counts = np.zeros(len(bounds) - 1, np.int64)
     for start, stop in _segments(data, bounds):
         piece = _LOWER[data[start:stop]]
         n = stop - start
@@ -145,16 +173,12 @@ def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
         if not len(begins):
             continue
-        power, inverse = _power_tables(n)
-        total = np.empty(n + 1, np.uint64)
-        total[0] = 0
-        np.cumsum((piece.astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
-        h = (total[ends] - total[begins]) * inverse[begins]
-        hashes.append(mix(h + (ends - begins).astype(np.uint64)))
+        for out, h in zip(found, fingerprints(piece, begins, ends), strict=True):
+            out.append(h)
         row = np.searchsorted(bounds, begins + start, "right") - 1
         counts += np.bincount(row, minlength=len(counts))
-    out = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-    return out, np.concatenate([[0], np.cumsum(counts)])
+    first, second = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in found)
+    return first, second, np.concatenate([[0], np.cumsum(counts)])
 
 
 def slices(column: pa.Array, limit: int = 1 << 22) -> Iterator[tuple[int, pa.Array]]:
@@ -168,26 +192,37 @@ def slices(column: pa.Array, limit: int = 1 << 22) -> Iterator[tuple[int, pa.Arr
         first = last
 
 
-def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
-    """For each row its sorted distinct k-word shingles; fewer words make one shingle, none an empty set."""
+def shingle_sets(column: pa.Array, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each row its distinct k-word shingles by the first fingerprint and by the second, both sorted.
+
+    Fewer words make one shingle, none an empty set.
+    """
     for _, part in slices(column):
         yield from _shingle_sets(part, k)
 
 
-def _shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
-    h, at = words(column)
-    rolled = h.copy()
-    for j in range(1, min(k, len(h))):
-        rolled = rolled * _SHINGLE
-        rolled[: len(h) - j] += h[j:]
-    rolled = mix(rolled)
+def _shingle_sets(column: pa.Array, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    *both, at = words(column)
+    rolled = []
+    for h, step, finish in zip(both, _SHINGLES, (mix, mix_other), strict=True):
+        r = h.copy()
+        for j in range(1, min(k, len(h))):
+            r = r * step
+            r[: len(h) - j] += h[j:]
+        rolled.append(finish(r))
+    empty = np.zeros(0, np.uint64)
     for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
         if b - a >= k:
-            yield np.unique(rolled[a : b - k + 1])
+            yield np.unique(rolled[0][a : b - k + 1]), np.unique(rolled[1][a : b - k + 1])
         elif b > a:
-            one = np.uint64(b - a)
-            for x in h[a:b]:
-                one = mix((one * _SHINGLE + x)[None])[0]
-            yield np.array([one], np.uint64)
+            yield _single(both[0][a:b], _SHINGLES[0], mix), _single(both[1][a:b], _SHINGLES[1], mix_other)
         else:
-            yield np.zeros(0, np.uint64)
+            yield empty, empty
+
+
+def _single(h: np.ndarray, step: np.uint64, finish: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """The one shingle of a document of fewer words than a shingle has."""
+    one = np.array([len(h)], np.uint64)
+    for x in h:
+        one = finish(one * step + x)
+    return one

@@ -278,6 +278,40 @@ def test_token_counts(docs, odd, empty):
     assert rows_of(token_count.token_counts(empty, path)) == []
 
 
+def thue_morse(length, letters):
+    return "".join(letters[i.bit_count() % 2] for i in range(length))
+
+
+#: Words on which polynomial hashes modulo a power of two collide.
+TWINS = [thue_morse(n, letters) for n in (1024, 2048, 4096) for letters in ("ai", "ia", "бю", "юб")]
+
+
+def test_word_fingerprints_tell_all_words_apart():
+    rng = np.random.default_rng(5)
+    some = {"".join(rng.choice(list("abéñ"), int(rng.integers(1, 30)))) for _ in range(20_000)}
+    some |= {"a" * n for n in range(1, 600)} | {"a" * n + "b" for n in range(600)} | set(TWINS)
+    first, second, at = wordhash.words(pa.array(sorted(some)))
+    assert (np.diff(at) == 1).all() and len(set(first.tolist())) == len(set(second.tolist())) == len(some)
+
+
+def test_token_counts_of_twin_words_and_mixed_scripts(spark):
+    import sentencepiece
+
+    path = queries.tokenizer("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = TWINS + mixed_scripts(7, 600)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_tokens"] for r in token_count.token_counts(df, path, head=100).collect()}
+    assert got == {i: len(ids) for i, ids in enumerate(sp.encode(texts))}
+
+
+def test_pretokens_that_share_one_fingerprint_are_told_apart_by_the_other():
+    h, other = np.array([7, 7, 3, 7, 3], np.uint64), np.array([1, 2, 1, 1, 1], np.uint64)
+    at, back, times = token_count.distinct_of(h, other)
+    assert [(int(h[i]), int(other[i])) for i in at] == [(3, 1), (7, 1), (7, 2)]
+    assert back.tolist() == [1, 2, 0, 1, 0] and times.tolist() == [2, 2, 1]
+
+
 def test_license_scan(docs, odd, empty):
     rows = rows_of(license_scan.scan(odd))
     assert len(rows) == docs.count()
@@ -373,13 +407,20 @@ def test_ngram_components_of_odd_rows(docs, odd, empty):
 @pytest.mark.parametrize("k", [4, 5])
 @pytest.mark.parametrize("text", ["two words", "just three words"])
 def test_a_short_document_alone_in_its_partition_has_one_shingle(spark, k, text):
-    alone = list(wordhash.shingle_sets(pa.array([None, text, ""]), k))
-    beside = list(wordhash.shingle_sets(pa.array([text, "a longer text of eight words beside it"]), k))
-    assert [len(s) for s in alone] == [0, 1, 0] and alone[1].tolist() == beside[0].tolist()
+    for which in (0, 1):
+        alone = [s[which] for s in wordhash.shingle_sets(pa.array([None, text, ""]), k)]
+        beside = [s[which] for s in wordhash.shingle_sets(pa.array([text, "a longer text of eight words beside it"]), k)]
+        assert [len(s) for s in alone] == [0, 1, 0] and alone[1].tolist() == beside[0].tolist()
     df = spark.createDataFrame([(7, text)], "doc_id long, text string").coalesce(1)
     assert [tuple(r) for r in ngram_join.ngram_components(df, k).collect()] == [(7, 1, 7)]
 
 
+def test_documents_of_one_word_link_only_if_they_are_equal(spark):
+    df = spark.createDataFrame(list(enumerate(TWINS + TWINS[:2])), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_components(df, 4, 85, 100).collect()}
+    assert got == {i: i % len(TWINS) for i in range(len(TWINS) + 2)}
+
+
 def test_near_copies_go_by_row_not_by_doc_id(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
     rows = [(1, a), (None, a + " more"), (None, ""), (None, c), (5, b), (5, b + " more"), (5, ""), (5, "another text of the same id")]
