@@ -9,7 +9,8 @@ take. The phrases whose places are reported are templates like the others, with
 all their pairs asked for.
 
 The hit is where words are compared themselves, so a hash never decides. Only
-hits and one row per document are shuffled, never texts.
+hits and one row per document are shuffled, never texts. A pair travels with its
+two words alone, so the work is linear in a text's length.
 """
 
 from __future__ import annotations
@@ -45,6 +46,30 @@ SENTENCES = {
     "licensed under cc by nc 4 0": "cc",
     "licensed under a creative commons attribution": "cc",
 }
+# Whole license texts, as their lower-cased words.
+TEXTS = {
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"
+    " the software to deal in the software without restriction including without limitation the rights to use copy modify merge"
+    " publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do"
+    " so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or"
+    " substantial portions of the software the software is provided as is without warranty of any kind express or implied including"
+    " but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the"
+    " authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or"
+    " otherwise arising from out of or in connection with the software or the use or other dealings in the software": "mit",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that"
+    " the above copyright notice and this permission notice appear in all copies the software is provided as is and the author"
+    " disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no"
+    " event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting"
+    " from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in"
+    " connection with the use or performance of this software": "isc",
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following"
+    " conditions are met 1 redistributions of source code must retain the above copyright notice this list of conditions and the"
+    " following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the"
+    " following disclaimer in the documentation and or other materials provided with the distribution": "bsd",
+    "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any"
+    " damages arising from the use of this software permission is granted to anyone to use this software for any purpose including"
+    " commercial applications and to alter it and redistribute it freely subject to the following restrictions": "zlib",
+}
 
 #: Template pairs that are broadcast at most; a larger collection is joined by shuffle.
 SMALL = 1_000_000
@@ -57,8 +82,8 @@ class Template:
     base: bool
 
 
-def templates(phrases: dict[str, str] = PHRASES, sentences: dict[str, str] = SENTENCES) -> list[Template]:
-    kinds = ((phrases, True), (sentences, False))
+def templates(phrases: dict[str, str] = PHRASES, sentences: dict[str, str] = SENTENCES, texts: dict[str, str] = TEXTS) -> list[Template]:
+    kinds = ((phrases, True), (sentences, False), (texts, False))
     return [Template(tuple(text.split(" ")), label, base) for some, base in kinds for text, label in some.items()]
 
 
@@ -97,8 +122,9 @@ def scan(documents: DataFrame, known: Sequence[Template] | None = None, coverage
     else the largest coverage of any span that was accepted, else 0.
 
     A null or empty text has no words and no labels ('' for both). Rows with one
-    doc_id are scanned each for itself. Extra columns are ignored. Templates need
-    two words at least.
+    doc_id are scanned each for itself. A text's length is bounded by a row's alone.
+    Extra columns are ignored. Templates need two words at least; whole license
+    texts are templates like any other.
     """
     known = templates() if known is None else known
     if any(len(t.words) < 2 for t in known):
@@ -107,10 +133,15 @@ def scan(documents: DataFrame, known: Sequence[Template] | None = None, coverage
     split = F.split(F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER), BREAKS)
     rows = documents.select("doc_id", F.monotonically_increasing_id().alias("row"), F.array_remove(split, "").alias("words"))
     rows = rows.withColumn("n_words", F.size("words").cast("long"))
-    pairs = F.zip_with("words", F.slice("words", F.lit(2), F.greatest(F.size("words"), F.lit(1))), lambda a, b: F.xxhash64(a, b))
-    grams = rows.select("*", F.posexplode(F.concat(pairs, F.array(F.xxhash64(F.lit(""), F.lit(""))))).alias("at", "h"))
-    joined = grams.join(_positions(spark, known), F.col("h") == F.col("t_h"))
-    same = (F.get("words", F.col("at")) == F.col("t_a")) & (F.get("words", F.col("at") + 1) == F.col("t_b"))
+
+    def pair(a: Column, b: Column) -> Column:
+        return F.struct(F.xxhash64(a, b).alias("h"), a.alias("a"), b.alias("b"))
+
+    pairs = F.zip_with("words", F.slice("words", F.lit(2), F.greatest(F.size("words"), F.lit(1))), pair)
+    pairs = F.concat(pairs, F.array(pair(F.lit(""), F.lit(""))))
+    grams = rows.select("row", "doc_id", "n_words", F.posexplode(pairs).alias("at", "pair"))
+    joined = grams.join(_positions(spark, known), F.col("pair.h") == F.col("t_h"))
+    same = (F.col("pair.a") == F.col("t_a")) & (F.col("pair.b") == F.col("t_b"))
     end = (F.col("t_id") == -1) & (F.col("at") == F.col("n_words"))
     hits = joined.where(end | ((F.col("t_id") >= 0) & same))
     hits = hits.select("row", "doc_id", "n_words", "t_id", F.col("at").cast("long").alias("at"), (F.col("at") - F.col("t_at")).alias("diagonal"))

@@ -340,6 +340,30 @@ def test_license_spans_survive_words_put_in_and_left_out(spark):
     assert got == {0: "mit", 1: "mit", 2: "mit", 3: ""}
 
 
+def test_license_scan_takes_time_in_proportion_to_a_text(spark):
+    import time
+
+    def scanned(words):
+        text = " ".join(f"w{i % 5003}" for i in range(words)) + " released under the MIT license"
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string").coalesce(1)
+        began = time.monotonic()
+        assert license_scan.scan(df).first()["n_words"] == words + 5
+        return time.monotonic() - began
+
+    scanned(20_000)
+    small, large = scanned(100_000), scanned(1_000_000)
+    assert large < 13 * small
+
+
+def test_license_texts_as_templates(spark):
+    text = list(license_scan.TEXTS)[0]
+    words = text.split()
+    cases = ["x y z " + text.upper(), " ".join(words[:70] + ["oddly"] + words[70:]), " ".join(words[: len(words) // 2])]
+    known = license_scan.templates(sentences={})
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    assert {r["doc_id"]: r["labels"] for r in license_scan.scan(df, known).collect()} == {0: "mit", 1: "mit", 2: ""}
+
+
 def shingles(text, k):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group(0).lower(), text or ""))
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
