@@ -406,7 +406,8 @@ def corpus(seed, n=260):
 @pytest.mark.parametrize(("seed", "k", "num", "den"), [(0, 4, 85, 100), (1, 5, 80, 100), (2, 2, 60, 100)])
 def test_ngram_components(spark, seed, k, num, den, monkeypatch):
     data = corpus(seed)
-    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", 16)
+    for name, value in {"BLOCK_DOCS": 16, "CROWD": 6, "HELD": 500, "UNIT": 5}.items():
+        monkeypatch.setattr(ngram_join, name, value)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_components(spark.createDataFrame(data, "doc_id long, text string"), k, num, den).collect()}
     sets = [shingles(t, k) for _, t in data]
     want = brute_components([i for i, _ in data], sets, num, den)
@@ -467,8 +468,44 @@ def test_verify_units(every):
             both = len(np.intersect1d(sets[i], sets[j]))
             if 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
                 want.add((i, j))
-    got = set(ngram_join.verify(sets, side, 85, 100, every))
+    got = set(ngram_join.verify(sets, side, 85, 100, every=every))
     assert want and (got == want if every else got <= want)
+    assert not set(ngram_join.verify(sets, side, 85, 100, [0] * 30))
+
+
+def hot_documents(spark, n):
+    """n documents of twelve words with one 4-gram in common, and no other."""
+    words = F.array(F.lit("one"), F.lit("and"), F.lit("the"), F.lit("same"), *[F.concat(F.lit(f"w{j}x"), F.col("id")) for j in range(8)])
+    return spark.range(n).select(F.col("id").alias("doc_id"), F.array_join(words, " ").alias("text"))
+
+
+def test_an_ngram_of_all_documents_makes_no_pairs(spark):
+    docs = hot_documents(spark, 100_000)
+    signed = ngram_join.signatures(docs, 4)
+    assert ngram_join.prefixes(docs, ngram_join.rarity(signed), 4, 85, 100).count() < 1000
+    # Also where the n-gram is in every prefix, entries are paired with two leaders at most, and none fit.
+    entries = ngram_join.prefixes(docs, np.zeros(1 << ngram_join.SKETCH_BITS, np.uint8), 4, 10, 100)
+    entries = entries.select("h", F.xxhash64("high", "low").alias("class"), "n", "at")
+    assert entries.count() == 100_000 and ngram_join.led(entries, 10, 100).count() <= 200_000
+
+
+def test_near_copies_linked_only_through_the_text_they_come_from(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    base = [f"b{i}" for i in range(60)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 700):
+        words = list(base)
+        words[int(rng.integers(4, 56))] = f"new{i}"
+        rows.append((i, " ".join(words)))
+    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", 100)
+    got = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, 100)
+    assert {r["component_id"] for r in got.collect()} == {0}
+
+
+def test_documents_without_ids_are_told_apart_by_their_texts(spark):
+    rows = [(None, " ".join(f"{k // 2}w{j}" for j in range(40)) + " end" * (k % 2)) for k in range(60)]
+    kept = ngram_join.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, 100)
+    assert kept.count() == 30
 
 
 def test_quality_learns_and_ignores_held_out_labels(spark, sf_dir):
