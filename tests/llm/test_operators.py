@@ -166,6 +166,41 @@ def test_mix_comes_near_its_targets_and_matches_the_mixed_rows(spark):
     copies = Counter(r["doc_id"] for r in mixing.mixed(df).collect())
     assert {r["doc_id"]: r["taken"] // r["size"] for r in rows if r["taken"]} == dict(copies)
     assert mixing.mixed(df).columns == df.columns
+    named = df.withColumns({"place": F.lit(1), "size": F.lit("x"), "_whole": F.lit(2)})
+    assert mixing.mixed(named).columns == named.columns and mixing.mixed(named).count() == sum(copies.values())
+    assert mixing.mixed(df.limit(0)).collect() == []
+
+
+def brute_mix(rows, targets, fills, tilt):
+    """Copies of (source, size, u) rows by going through each source's ranking one after the other."""
+    out = {}
+    for source, target in targets.items():
+        own = sorted((u / (1 - u) / max(size, 1) ** tilt, size, i) for i, (s, size, u) in enumerate(rows) if s == source)
+        total = sum(size for _, size, _ in own)
+        whole = math.floor(target / total) if total else 0
+        left, past = target - whole * total, 0
+        for _, size, i in own:
+            take = size <= left and (not past or (size and past <= fills)) and total and left > 0
+            past += bool(take if past else not take)
+            left -= size * bool(take)
+            out[i] = whole + bool(take)
+    return out
+
+
+@pytest.mark.parametrize("tilt", [0.0, 0.5])
+def test_mix_takes_what_a_sequential_pareto_ranking_takes(spark, tilt):
+    rng = np.random.default_rng(11)
+    data = [(i, "w " * int(rng.integers(0, 90)), "en", ["hot", "hot", "b", "c", None][i % 5], i) for i in range(2500)]
+    df = spark.createDataFrame(data, SCHEMA)
+    drawn = sorted(df.select("doc_id", "source", mixing.word_count().alias("size"), mixing.draw(0).alias("u")).collect())
+    got = {r["doc_id"]: r for r in mixing.mix_documents(df, tilt=tilt).collect()}
+    targets = {r["source"]: got[r["doc_id"]]["target"] for r in drawn}
+    want = brute_mix([tuple(r)[1:] for r in drawn], targets, mixing.FILLS, tilt)
+    assert {i: r["taken"] for i, r in got.items()} == {r["doc_id"]: r["size"] * want[i] for i, r in enumerate(drawn)}
+    for source, target in targets.items():
+        assert abs(sum(got[r["doc_id"]]["taken"] for r in drawn if r["source"] == source) - target) <= 45
+    longer = [r["size"] > 45 for r in drawn if r["source"] == "hot" and got[r["doc_id"]]["taken"] and want[r["doc_id"]] > min(want.values())]
+    assert longer and (tilt == 0 or np.mean(longer) > 0.5)
 
 
 def test_packing_is_exact(docs, odd, empty):
