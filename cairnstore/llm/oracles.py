@@ -48,20 +48,21 @@ def _urls() -> str:
         )
 
     def attribute(tag: str, name: str) -> str:
-        form = r"""(?is)\b%s\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))""" % name
+        form = r"""(?is)[\s"''/]%s\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))""" % name
         return "concat(" + ", ".join(f"regexp_extract({tag}, '{form}', {k})" for k in (1, 2, 3)) + ")"
 
-    canonical = r"""regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>', 0)"""
-    refresh = r"""regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>', 0)"""
-    target = r"""regexp_extract(%s, '(?is)url\s*=\s*["'']?([^"'']*)', 1)""" % attribute(refresh, "content")
+    target = r"""regexp_extract(%s, '(?is)url\s*=\s*["'']?([^"'']*)', 1)""" % attribute("tag", "content")
     folder = "regexp_extract(url, '(?s)^.*?://[^/?#]*((?:/[^/?#]*)*/)', 1)"
     root = "regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1)"
     full = f"""CASE WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN link WHEN link LIKE '//%' THEN {scheme % "url"} || ':' || link
       WHEN link LIKE '/%' THEN {root} || link ELSE {root} || CASE {folder} WHEN '' THEN '/' ELSE {folder} END || link END"""
     return f"""WITH RECURSIVE p AS (SELECT row_number() OVER () AS k, page_id, coalesce({host % "url"}, '') AS host, coalesce({path % "url"}, '') AS path,
-    {address("url")} AS address, url, coalesce(html, '') AS html FROM pages),
-  links AS (SELECT address, url, replace(trim({attribute(canonical, "href")}), '&amp;', '&') AS link FROM p
-    UNION ALL SELECT address, url, replace(trim({target}), '&amp;', '&') FROM p),
+    {address("url")} AS address, url, regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->', '', 'g') AS html FROM pages),
+  tags AS (SELECT address, url, unnest(regexp_extract_all(html, '(?i)<link\\b[^>]*>')) AS tag, true AS canonical FROM p
+    UNION ALL SELECT address, url, unnest(regexp_extract_all(html, '(?i)<meta\\b[^>]*>')), false FROM p),
+  links AS (SELECT address, url, replace(trim(CASE WHEN canonical THEN {attribute("tag", "href")} ELSE {target} END), '&amp;', '&') AS link FROM tags
+    WHERE CASE WHEN canonical THEN regexp_matches({attribute("tag", "rel")}, '(?is)(^|\\s)canonical(\\s|$)')
+      ELSE regexp_matches({attribute("tag", "http-equiv")}, '(?is)^\\s*refresh\\s*$') END),
   whole AS (SELECT address AS a, {full} AS target FROM links WHERE link <> '' AND address IS NOT NULL),
   one AS (SELECT a, {address("target")} AS b FROM whole WHERE target IS NOT NULL),
   edges AS MATERIALIZED (SELECT a, b FROM one WHERE b IS NOT NULL AND a <> b UNION SELECT b, a FROM one WHERE b IS NOT NULL AND a <> b),

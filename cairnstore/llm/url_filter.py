@@ -70,18 +70,21 @@ def _resolved(link: Column, base: Column) -> Column:
     return F.when(F.coalesce(link, F.lit("")) != "", _address(full))
 
 
-def _links(html: Column) -> Column:
-    """The first canonical link and the first refresh of a page."""
-    value = r"""\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's attribute, quoted or not."""
+    pattern = rf"""(?is)[\s"'/]{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    return F.concat(*[F.regexp_extract(tag, pattern, k) for k in (1, 2, 3)])
 
-    def attribute(tag: Column, name: str) -> Column:
-        pattern = rf"(?is)\b{name}{value}"
-        return F.concat(*[F.regexp_extract(tag, pattern, k) for k in (1, 2, 3)])
 
-    canonical = F.regexp_extract(html, r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>""", 0)
-    refresh = F.regexp_extract(html, r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>""", 0)
-    target = F.regexp_extract(attribute(refresh, "content"), r"""(?is)url\s*=\s*["']?([^"']*)""", 1)
-    return F.array(attribute(canonical, "href"), target)
+def _links(html: Column) -> Column:
+    """The targets of all canonical links and refreshes of a page, comments left out."""
+    html = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
+    tags = F.regexp_extract_all(html, F.lit(r"(?i)<link\b[^>]*>"), F.lit(0))
+    canonical = F.filter(tags, lambda tag: _attribute(tag, "rel").rlike(r"(?is)(^|\s)canonical(\s|$)"))
+    metas = F.regexp_extract_all(html, F.lit(r"(?i)<meta\b[^>]*>"), F.lit(0))
+    refresh = F.filter(metas, lambda tag: _attribute(tag, "http-equiv").rlike(r"(?is)^\s*refresh\s*$"))
+    targets = F.transform(refresh, lambda tag: F.regexp_extract(_attribute(tag, "content"), r"""(?is)url\s*=\s*["']?([^"']*)""", 1))
+    return F.concat(F.transform(canonical, lambda tag: _attribute(tag, "href")), targets)
 
 
 def _rules(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
@@ -94,7 +97,9 @@ def _rules(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
 def ruled(rows: DataFrame, key: str, rules: Sequence[Rule]) -> DataFrame:
     """(key, rule, action) of the rows (key, host, path) that a rule fits: the longest, of equals that of the longer host."""
     labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    deepest = max((r.host.count(".") + 1 for r in rules), default=1)
+    first = F.greatest(F.lit(1), F.size(labels) - deepest + 1)
+    suffixes = F.transform(F.sequence(first, F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.lit(deepest)), "."))
     spread = rows.select(key, "path", F.explode(suffixes).alias("suffix"))
     fit = spread.join(_rules(rows.sparkSession, rules), F.col("suffix") == F.col("rule_host")).where(F.col("path").startswith(F.col("rule_path")))
     best = F.max(F.struct(F.length("rule"), F.length("rule_host"), "rule", "action"))
@@ -104,12 +109,12 @@ def ruled(rows: DataFrame, key: str, rules: Sequence[Rule]) -> DataFrame:
 def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, redirects: DataFrame | None = None, default: str = "allow") -> DataFrame:
     """Per row of pages: page_id, host, path, rule (null without) and verdict.
 
-    redirects: optional (source, target) addresses besides the pages' own canonical
+    redirects: optional (source, target) addresses besides all the pages' own canonical
     links and refreshes. Aliases may be addresses that are no page; their rules count.
     Pages whose url has no host have no aliases. A page without a rule takes allow if
     an alias is allowed by a rule, else block if one is blocked, else `default`. Null
-    urls and html are empty; rows with one page_id are judged each for itself; of
-    two rules with one host and path that block the same text, block wins. Extra
+    urls and html are empty; rows with one page_id or url are judged each for itself. If
+    a host and path have both an allow and a block rule, the block rule holds. Extra
     columns are ignored.
     """
     spark = pages.sparkSession
@@ -131,5 +136,8 @@ def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, redirects: DataFrame
     decided = groups.join(ruled(members, "node", rules), "node").groupBy("component")
     decided = decided.agg(F.max((F.col("action") == "allow").cast("int")).alias("_allowed"))
     aliases = groups.join(decided, "component").select("node", F.when(F.col("_allowed") == 1, "allow").otherwise("block").alias("_by_alias"))
-    out = own.drop("links").join(ruled(own, "row", rules), "row", "left").join(aliases, F.col("address") == F.col("node"), "left")
+    # Pages without an address get a key of their own that no address has, so that they don't meet in one task.
+    key = F.coalesce("address", F.col("row").cast("string"))
+    aliases = broadcast_if_small(aliases, aliases.count(), SMALL)
+    out = own.drop("links").join(ruled(own, "row", rules), "row", "left").withColumn("_key", key).join(aliases, F.col("_key") == F.col("node"), "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("action", "_by_alias", F.lit(default)).alias("verdict"))

@@ -714,6 +714,35 @@ def test_url_aliases(spark):
     assert alone[5] == alone[6] == "block" and alone[7] == "allow"
 
 
+def test_url_links_are_all_found(spark):
+    pages = [
+        (1, "http://a.org/x", '<!-- <link rel="canonical" href="http://www.example.com/en/"> --><link rel=canonical href="">'),
+        (2, "http://a.org/y", '<link rel="stylesheet" href="http://www.example.com/en/1"><LINK href=http://q.example.com/en/9 rel="alternate canonical">'),
+        (3, "http://a.org/z", '<link rel="canonical" href=""><meta http-equiv="refresh" content="1"><meta content="5;URL=\'/y\'" http-equiv="Refresh">'),
+        (4, "http://a.org/v", '<link rel="canonical" href="/nowhere"><link rel="canonical" href="/z">'),
+    ]
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {1: "allow", 2: "block", 3: "block", 4: "block"}
+
+
+def test_url_aliases_of_chains_cycles_and_hubs(spark):
+    n = 10_000
+    hub = [(f"http://hub.org/{i}", "http://q.example.com/en/hub") for i in range(n)]
+    chain = [(f"http://chain.org/{i}", f"http://chain.org/{i + 1}") for i in range(300)] + [("http://chain.org/300", "http://x.net/es/1")]
+    cycle = [(f"http://cycle.org/{i}", f"http://cycle.org/{(i + 1) % 50}") for i in range(50)] + [("http://cycle.org/7", "http://www.example.com/en/")]
+    cycle.append(("http://q.example.com/en/7", "http://cycle.org/9"))
+    edges = [*hub, *chain, *cycle, ("http://loop.org/", "http://loop.org/"), (None, "http://hub.org/1"), *hub[:100]]
+    pages = [(i, f"http://hub.org/{i}", None) for i in range(0, n, 10)] + [(n + i, f"http://chain.org/{i}", None) for i in range(300)]
+    pages += [(2 * n + i, f"http://cycle.org/{i}", None) for i in range(50)] + [(3 * n, "http://loop.org/", None), (3 * n, "http://loop.org/", None)]
+    pages += [(4 * n, None, None)] * 200 + [(4 * n + 1, "http://hub.org/1", None)] * 300 + [(None, "http://chain.org/5", None), (5 * n, "http://" + "a." * 50_000 + "org/", None)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    rows = url_filter.judge(df, redirects=spark.createDataFrame(edges, "source string, target string")).collect()
+    assert len(rows) == len(pages)
+    for r in rows:
+        want = "block" if r["host"] in ("hub.org", "chain.org") else "allow"
+        assert r["verdict"] == want and r["rule"] is None
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
