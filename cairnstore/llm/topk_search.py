@@ -1,26 +1,31 @@
 """Exact top-k by inner product with M-trees.
 
-With M the largest norm in a tree, a vector v gets the further coordinate
-sqrt(M * M - |v| * |v|), a query a 0; then |q - v|^2 = |q|^2 + M^2 - 2 q.v is a
-metric's square, and the largest products are the nearest neighbours.
-
-Rows are dealt to blocks of bounded size by their nearest of a few pivots; each
-block is an M-tree of pages. A page keeps its routing vector, covering radius
-and distance to the root's routing vector, a row its distance to its page's. A
-search visits pages best first, skips pages whose distance to the query needn't
-be computed given the root's, ends when no page can hold a better row, and
-within a page computes only products that the stored distances leave open. It
-starts with a bound from a bounded sample, so most blocks end at once. Products
-are computed in integers; the distances only prune, with a margin for rounding.
-
-Queries travel in packets of bounded size to every block: a stated set of
-queries against all rows, in blocks.
+Rows are ordered by their nearest of some pivots, near pivots next to each other, and cut
+into blocks of bounded size, the leaves of a tree. A block is a table row that holds its vectors, their centre and
+covering radius. Nodes in a row are children of a page, which keeps their centres, radii
+and distances to its own centre, up to one root for each length of vectors. Queries
+descend level by level in packets of bounded size: from a page a packet goes on only to
+children whose ball can hold a row as good as the query's bound, the k-th best of a
+bounded sample, and a child's product is computed only if its stored distance and radius
+leave that open. So no query meets a block that its bound excludes, and no level is held
+by one task.
+
+A block is an M-tree of two levels. With M the largest norm in it, a vector v gets the
+further coordinate sqrt(M * M - |v| * |v|), a query a 0; then |q - v|^2 = |q|^2 + M^2 -
+2 q.v is a metric's square, and the largest products are the nearest neighbours. A
+page of the block keeps its routing vector, covering radius and distance to the block's
+first, a row its distance to its page's. A search visits pages best first, skips pages
+whose distance to the query needn't be computed, ends when no page can hold a better
+row, and within a page computes only products that the stored distances leave open.
+Products are computed in integers; the distances only prune, with a margin for rounding.
 """
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,11 +35,12 @@ from pyspark.sql import functions as F
 
 from .spark_tools import materialize, partitions, row_numbers
 
-#: Rows in a block, routing vectors in it, queries in a packet.
-BLOCK, PAGE, PACKET = 4096, 64, 512
+#: Rows in a block, routing vectors in it, children of a node, queries in a packet, packets for a block in one unit of work.
+BLOCK, PAGE, FAN, PACKET, PACKETS = 2048, 64, 256, 512, 64
 #: Rows in the sample that gives pivots and first bounds, and pivots.
-SAMPLE, PIVOTS = 2048, 64
+SAMPLE, PIVOTS = 2048, 1024
 _EXACT = float(1 << 20)
+_LONG = (-(1 << 63), (1 << 63) - 1)
 
 
 def usable(vector: str = "embedding") -> Column:
@@ -47,8 +53,34 @@ def quantized(vector: str = "embedding") -> Column:
     return F.transform(vector, lambda v: F.floor(v.cast("double") * 256).cast("double"))
 
 
+class Best:
+    """The best (score, id) rows that hold the k best of any but one id: up to the (k + 1)th id, of each id k rows."""
+
+    def __init__(self, k: int):
+        self.k, self.rows, self.full = k, [], False
+
+    def add(self, score: float, number: int) -> None:
+        entry = (-score, number)
+        if self.full and entry >= self.rows[-1]:
+            return
+        bisect.insort(self.rows, entry)
+        times: Counter = Counter()
+        kept = []
+        for row in self.rows:
+            times[row[1]] += 1
+            if times[row[1]] <= self.k:
+                kept.append(row)
+            if len(times) > self.k:
+                break
+        self.rows, self.full = kept, len(times) > self.k
+
+    def least(self) -> float:
+        """A score that any further row must reach."""
+        return -self.rows[-1][0] if self.full else -math.inf
+
+
 class Tree:
-    """An M-tree of two levels over integer vectors (as float64, exact below 2 ** 53)."""
+    """An M-tree of two levels over integer vectors (as float64, exact below 2 ** 53): a block."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
         order = np.argsort(ids, kind="stable")
@@ -74,15 +106,15 @@ class Tree:
         self.route, self.route_lift = self.x[routing[used]], lift[routing[used]]
         self.to_root = distance[routing[used], used[0]]
 
-    def search(self, q: np.ndarray, k: int, bound: float) -> list[tuple[float, int]]:
-        """Up to k pairs (score, -id), the best, of those with a score of `bound` at least."""
+    def search(self, q: np.ndarray, k: int, bound: float) -> Best:
+        """The best rows of those with a score of `bound` at least."""
         q2 = float(q @ q)
         base = q2 + self.top2
 
         def nearest(score: float) -> float:
             return math.sqrt(max(base - 2 * score, 0) + self.margin) if score > -math.inf else math.inf
 
-        best: list[tuple[float, int]] = []
+        best = Best(k)
         limit = nearest(bound)
         root = math.sqrt(max(base - 2 * float(q @ self.route[0]), 0))
         open_pages = np.flatnonzero(np.abs(root - self.to_root) - self.radius <= limit)
@@ -101,122 +133,277 @@ class Tree:
                 continue
             scores = self.x[rows] @ q
             for r in np.flatnonzero(scores >= bound):
-                entry = (float(scores[r]), -int(self.ids[rows[r]]))
-                if len(best) < k:
-                    heapq.heappush(best, entry)
-                elif entry > best[0]:
-                    heapq.heapreplace(best, entry)
-            if len(best) == k and best[0][0] > bound:
-                bound = best[0][0]
+                best.add(float(scores[r]), int(self.ids[rows[r]]))
+            if best.least() > bound:
+                bound = best.least()
                 limit = nearest(bound)
         return best
 
 
+class Ball:
+    """The children of a page: centres, covering radii and distances to the page's own centre."""
+
+    def __init__(self, centres: np.ndarray, radii: np.ndarray):
+        self.centres, self.radii = centres, radii
+        self.centre = centres.mean(axis=0)
+        self.apart = np.linalg.norm(centres - self.centre, axis=1)
+        self.radius = float((self.apart + radii).max())
+
+    @staticmethod
+    def open(centre: np.ndarray, centres: np.ndarray, radii: np.ndarray, apart: np.ndarray, q: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """[query, child]: whether a child can hold a row whose product with a query reaches its bound."""
+        length = np.linalg.norm(q, axis=1)[:, None]
+        slack = 1e-6 * (1 + length * (np.linalg.norm(centre) + float((apart + radii).max())))
+        far = (q @ centre)[:, None] + length * (apart + radii)[None, :] + slack
+        out = far >= bounds[:, None]
+        asked = out.any(axis=0)
+        out[:, asked] &= q @ centres[asked].T + length * radii[asked][None, :] + slack >= bounds[:, None]
+        return out
+
+
 def _matrix(bodies: list[bytes]) -> np.ndarray:
     return np.stack([np.frombuffer(b, np.float64) for b in bodies])
 
 
-def _exact(ids: np.ndarray, x: np.ndarray, q: np.ndarray, k: int) -> list[tuple[int, int]]:
+def _exact(ids: np.ndarray, x: np.ndarray, q: np.ndarray, k: int) -> Best:
     """The search in Python integers, for components too large for exact float64 products; scores stop at a long's ends."""
-    ends = (-(1 << 63), (1 << 63) - 1)
-    whole = [int(v) for v in q]
-    scores = (min(max(sum(a * int(b) for a, b in zip(whole, row, strict=True)), ends[0]), ends[1]) for row in x)
-    return heapq.nlargest(k, ((s, -int(i)) for s, i in zip(scores, ids, strict=True)))
+    whole, best = [int(v) for v in q], Best(k)
+    for i, row in zip(ids, x, strict=True):
+        best.add(min(max(sum(a * int(b) for a, b in zip(whole, row, strict=True)), _LONG[0]), _LONG[1]), int(i))
+    return best
+
+
+def _kept(rows: DataFrame, k: int) -> DataFrame:
+    """Rows (vec_id, x) without those of equal vectors that can't be among the k best of any query: k + 1 ids, of each k rows."""
+    keyed = rows.withColumn("_key", F.xxhash64("x", F.size("x")))
+    same = Window.partitionBy("_key", "x", "vec_id").orderBy("vec_id")
+    keyed = keyed.withColumn("_n", F.row_number().over(same)).where(F.col("_n") <= k)
+    equal = Window.partitionBy("_key", "x").orderBy("vec_id")
+    return keyed.withColumn("_n", F.dense_rank().over(equal)).where(F.col("_n") <= k + 1).select("vec_id", "x")
+
+
+def _chain(x: np.ndarray) -> np.ndarray:
+    """The vectors in an order in which each is followed by the nearest of the rest."""
+    left, order = np.ones(len(x), bool), [0]
+    for _ in range(len(x) - 1):
+        left[order[-1]] = False
+        rest = np.flatnonzero(left)
+        order.append(int(rest[((x[rest] - x[order[-1]]) ** 2).sum(axis=1).argmin()]))
+    return x[order]
+
+
+def _leaves(packed: DataFrame, sample: dict[int, np.ndarray]) -> DataFrame:
+    """Blocks (node, size, ids, body, centre, radius) of packed rows that are near each other."""
+    spark = packed.sparkSession
+    pivots = spark.sparkContext.broadcast({size: _chain(x[:PIVOTS]) for size, x in sample.items()})
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column(1).to_numpy()
+            bodies = np.array(batch.column(2).to_pylist(), dtype=object)
+            pivot, distance = np.zeros(len(sizes), np.int32), np.zeros(len(sizes))
+            for size in np.unique(sizes).tolist():
+                if size not in pivots.value:
+                    continue
+                p, at = pivots.value[size], np.flatnonzero(sizes == size)
+                for a in range(0, len(at), 4096):
+                    part = at[a : a + 4096]
+                    x = _matrix(bodies[part].tolist())
+                    d2 = (x * x).sum(axis=1)[:, None] + (p * p).sum(axis=1)[None, :] - 2 * x @ p.T
+                    pivot[part] = d2.argmin(axis=1)
+                    distance[part] = np.sqrt(np.maximum(d2.min(axis=1), 0))
+            names = ["vec_id", "size", "body", "pivot", "distance"]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pivot), pa.array(distance)], names=names)
+
+    order = [F.col("size"), F.col("pivot"), F.col("distance"), F.col("vec_id")]
+    placed = materialize(packed.mapInArrow(nearest, "vec_id long, size int, body binary, pivot int, distance double"))
+    dealt = placed.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).select("vec_id", "size", "body")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number, now, ids, bodies = TaskContext.get().partitionId() << 33, None, [], []
+
+        def block() -> pa.RecordBatch:
+            x = _matrix(bodies)
+            centre = x.mean(axis=0)
+            radius = float(np.sqrt(((x - centre) ** 2).sum(axis=1)).max())
+            columns = [
+                pa.array([number], pa.int64()),
+                pa.array([now], pa.int32()),
+                pa.array([ids], pa.list_(pa.int64())),
+                pa.array([b"".join(bodies)], pa.binary()),
+                pa.array([centre.tobytes()], pa.binary()),
+                pa.array([radius], pa.float64()),
+            ]
+            return pa.RecordBatch.from_arrays(columns, names=["node", "size", "ids", "body", "centre", "radius"])
+
+        for batch in batches:
+            for vec_id, size, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if ids and (size != now or len(ids) == BLOCK):
+                    yield block()
+                    number, ids, bodies = number + 1, [], []
+                now = size
+                ids.append(vec_id)
+                bodies.append(body)
+        if ids:
+            yield block()
+
+    return materialize(dealt.mapInArrow(cut, "node long, size int, ids array<long>, body binary, centre binary, radius double"))
+
+
+def _above(nodes: DataFrame) -> DataFrame:
+    """Pages (node, size, centre, radius, children, centres, radii, apart) over nodes, FAN at most in each."""
+    numbered, _ = row_numbers(nodes.select("node", "size", "centre", "radius"), [F.col("size"), F.col("node")], "_at")
+    first = numbered.groupBy("size").agg(F.min("_at").alias("_first"))
+    numbered = numbered.join(first, "size").withColumn("_page", F.floor((F.col("_at") - F.col("_first")) / FAN))
+    grouped = numbered.groupBy("size", "_page").agg(F.array_sort(F.collect_list(F.struct("node", "centre", "radius"))).alias("all"), F.min("_at").alias("page"))
+
+    def page(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["node", "size", "centre", "radius", "children", "centres", "radii", "apart"]
+        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.float64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
+        for batch in batches:
+            out: list[list] = [[] for _ in names]
+            for size, node, children in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ball = Ball(_matrix([c["centre"] for c in children]), np.array([c["radius"] for c in children]))
+                row = (node, size, ball.centre.tobytes(), ball.radius, [c["node"] for c in children], ball.centres.tobytes(), ball.radii.tobytes(), ball.apart.tobytes())
+                for column, value in zip(out, row, strict=True):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(out, kinds, strict=True)], names=names)
+
+    schema = "node long, size int, centre binary, radius double, children array<long>, centres binary, radii binary, apart binary"
+    return materialize(grouped.select("size", "page", "all").mapInArrow(page, schema))
+
+
+def tree(leaves: DataFrame) -> list[DataFrame]:
+    """The levels of pages over the leaves, the root's first: one root for each length of vectors."""
+    levels = [_above(leaves)]
+    while levels[0].groupBy("size").count().where("count > 1").limit(1).count():
+        levels.insert(0, _above(levels[0]))
+    return levels
+
+
+def descended(queries: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """(node, queries, bounds, body): packets of queries at the leaves that their bounds leave open.
+
+    queries: (query, size, body, bound).
+    """
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple]] = {}
+
+        def packet(size: int) -> pa.RecordBatch:
+            numbers, bounds, bodies = zip(*held.pop(size), strict=True)
+            columns = [pa.array([size], pa.int32()), pa.array([numbers], pa.list_(pa.int64())), pa.array([bounds], pa.list_(pa.float64())), pa.array([b"".join(bodies)], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["size", "queries", "bounds", "body"])
+
+        for batch in batches:
+            for number, size, body, bound in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.setdefault(size, []).append((number, bound, body))
+                if len(held[size]) == PACKET:
+                    yield packet(size)
+        for size in list(held):
+            yield packet(size)
+
+    def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                size = row["size"]
+                q, bounds = np.frombuffer(row["body"], np.float64).reshape(-1, size), np.array(row["bounds"])
+                centres, radii, apart = (np.frombuffer(row[c], np.float64) for c in ("centres", "radii", "apart"))
+                open_ = Ball.open(np.frombuffer(row["centre"], np.float64), centres.reshape(-1, size), radii, apart, q, bounds)
+                numbers = np.array(row["queries"], np.int64)
+                at = np.flatnonzero(open_.any(axis=0))
+                some = [np.flatnonzero(open_[:, c]) for c in at]
+                columns = [
+                    pa.array([row["children"][c] for c in at], pa.int64()),
+                    pa.array([size] * len(at), pa.int32()),
+                    pa.array([numbers[i].tolist() for i in some], pa.list_(pa.int64())),
+                    pa.array([bounds[i].tolist() for i in some], pa.list_(pa.float64())),
+                    pa.array([q[i].tobytes() for i in some], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "size", "queries", "bounds", "body"])
+
+    packets = queries.select("query", "size", "body", "bound").mapInArrow(gather, "size int, queries array<long>, bounds array<double>, body binary")
+    packets = packets.join(levels[0].select("size", "node"), "size")
+    for pages in levels:
+        met = packets.join(pages.drop("radius", "size"), "node")
+        packets = met.mapInArrow(down, "node long, size int, queries array<long>, bounds array<double>, body binary")
+    return packets
+
+
+def _asked(queries: DataFrame, sample: dict[int, tuple[np.ndarray, np.ndarray]], k: int) -> DataFrame:
+    """(query, size, body, bound): each query with a score that its k best rows reach, from rows of k + 1 ids."""
+    shared = queries.sparkSession.sparkContext.broadcast(sample)
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bounds = []
+            for size, body in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                q, x = np.frombuffer(body, np.float64), shared.value.get(size, np.zeros((0, size)))
+                wide = np.abs(q).max() >= _EXACT or (len(x) and np.abs(x).max() >= _EXACT)
+                bounds.append(-math.inf if wide or len(x) <= k else float(np.partition(x @ q, len(x) - k - 1)[len(x) - k - 1]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bounds, pa.float64())], names=["query", "size", "body", "bound"])
+
+    return queries.select("query", "size", "body").mapInArrow(bounded, "query long, size int, body binary, bound double")
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k highest products, ties to the smaller vec_id.
 
     rows, queries: (vec_id, x), x integers as doubles, of any but equal length (rows of
-    another length than a query's are no candidates for it). A query's own vec_id
-    is no candidate. Equal vectors beyond the k + 1 smallest vec_ids can't be
-    among the best and are left out before the search; equal queries are searched
-    once. Rows with a null vec_id take no part. Fewer candidates give fewer rows.
+    another length than a query's are no candidates for it). Rows of a query's own vec_id
+    are no candidates. Rows that repeat a vec_id are rows of their own; equal queries are
+    searched once. Rows with a null vec_id take no part. Fewer candidates give fewer rows.
     """
     spark = rows.sparkSession
-    rows = rows.where("vec_id is not null").select("vec_id", "x", F.xxhash64("x", F.size("x")).alias("_key"))
-    first = Window.partitionBy("_key", "x").orderBy("vec_id")
-    rows = rows.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= k + 1)
-    packed = materialize(_packed(rows.select("vec_id", "x")))
-    taken = packed.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow().to_pydict()
-    sample = spark.sparkContext.broadcast((taken["vec_id"], taken["body"]))
-
-    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bodies = sample.value[1]
-        for batch in batches:
-            pivot, distance = [], []
-            for body in batch.column(2).to_pylist():
-                pivots = _pivots(bodies, len(body))
-                d = np.linalg.norm(pivots - np.frombuffer(body, np.float64), axis=1) if len(pivots) else np.zeros(1)
-                pivot.append(int(d.argmin()))
-                distance.append(float(d.min()))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(pivot, pa.int32()), pa.array(distance)], names=["vec_id", "size", "body", "pivot", "distance"]
-            )
-
-    schema = "vec_id long, size int, body binary, pivot int, distance double"
-    placed = packed.mapInArrow(nearest, schema)
-    numbered, _ = row_numbers(placed, [F.col("size"), F.col("pivot"), F.col("distance"), F.col("vec_id")], "_at")
-    blocks = numbered.select((F.floor(F.col("_at") / BLOCK)).alias("block"), "size", F.lit(0).alias("kind"), F.array("vec_id").alias("ids"), "body")
-    asked = queries.where("vec_id is not null").select("vec_id", "x")
-    distinct = asked.groupBy("x").agg(F.min("vec_id").alias("query"))
-    distinct = materialize(distinct)
-    dealt, _ = row_numbers(_packed(distinct.select(F.col("query").alias("vec_id"), "x")), [F.col("size"), F.col("vec_id")], "_at")
-    gathered = dealt.groupBy("size", F.floor(F.col("_at") / PACKET).alias("packet"))
-    gathered = gathered.agg(F.array_sort(F.collect_list(F.struct("vec_id", "body"))).alias("all"))
-    packets = gathered.select("size", F.col("all.vec_id").alias("ids"), F.array_join(F.transform("all.body", lambda b: F.hex(b)), "").alias("_hex"))
-    packets = packets.select("size", "ids", F.unhex("_hex").alias("body"))
-    packets = packets.join(blocks.select("block", "size").distinct(), "size").select("block", "size", F.lit(1).alias("kind"), "ids", "body")
+    packed = materialize(_packed(_kept(rows.where("vec_id is not null").select("vec_id", "x"), k)))
+    taken = packed.orderBy(F.xxhash64("vec_id"), "vec_id", "body").limit(SAMPLE).toArrow().to_pydict()
+    by_id = {(len(body) // 8, vec_id): body for vec_id, body in zip(taken["vec_id"], taken["body"], strict=True)}
+    sample = {size: _matrix([b for (s, _), b in by_id.items() if s == size]) for size in {s for s, _ in by_id}}
+    leaves = _leaves(packed, sample)
+    asked = queries.where("vec_id is not null").select("vec_id", "x").distinct()
+    distinct = materialize(asked.select("x").distinct().withColumn("query", F.monotonically_increasing_id()))
+    named = asked.join(distinct, "x").select(F.col("vec_id").alias("query_id"), "query")
+    numbered = _packed(distinct.select(F.col("query").alias("vec_id"), "x")).withColumnRenamed("vec_id", "query")
+    packets = materialize(descended(_asked(numbered, sample, k), tree(leaves)))
+    many = packets.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / PACKETS).cast("int").alias("_units"))
+    unit = F.pmod(F.xxhash64("queries"), F.col("_units")).cast("int")
+    packets = packets.join(many, "node").select("node", unit.alias("unit"), "size", F.lit(1).alias("kind"), F.col("queries").alias("ids"), "bounds", "body")
+    blocks = leaves.join(many, "node").select(
+        "node", F.explode(F.sequence(F.lit(0), F.col("_units") - 1)).alias("unit"), "size", F.lit(0).alias("kind"), "ids", F.array().cast("array<double>").alias("bounds"), "body"
+    )
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, bodies, tree, x, bounds = None, [], [], None, None, {}
+        block, wide = None, False
         for batch in batches:
             out: tuple[list, list, list] = ([], [], [])
-            for block, size, kind, row_ids, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (block, size) != now:
-                    now, ids, bodies, tree = (block, size), [], [], None
+            for _, _, size, kind, ids, bounds, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                x = np.frombuffer(body, np.float64).reshape(-1, size)
                 if kind == 0:
-                    ids.append(row_ids[0])
-                    bodies.append(body)
+                    block, wide = Tree(np.array(ids, np.int64), x), bool(np.abs(x).max() >= _EXACT)
                     continue
-                if tree is None:
-                    x = _matrix(bodies)
-                    tree = Tree(np.array(ids, np.int64), x)
-                    known = [b for b in sample.value[1] if len(b) == 8 * size]
-                    seen = _matrix(known) if known else np.zeros((0, size))
-                    wide = not (np.abs(x).max() < _EXACT and (not len(seen) or np.abs(seen).max() < _EXACT))
-                q = np.frombuffer(body, np.float64).reshape(-1, size)
-                exact = wide or np.abs(q).max() >= _EXACT
-                for number, query in zip(row_ids, q, strict=True):
-                    if exact:
-                        found = _exact(np.array(ids), x, query, k + 1)
-                    else:
-                        if number not in bounds:
-                            scores = np.sort(seen @ query)
-                            bounds[number] = float(scores[-(k + 1)]) if len(scores) > k else -math.inf
-                        found = tree.search(query, k + 1, bounds[number])
-                    for score, negative in found:
+                for number, bound, q in zip(ids, bounds, x, strict=True):
+                    exact = wide or np.abs(q).max() >= _EXACT
+                    best = _exact(block.ids, block.x, q, k) if exact else block.search(q, k, bound)
+                    for score, vec_id in best.rows:
                         out[0].append(number)
-                        out[1].append(-negative)
-                        out[2].append(int(score))
+                        out[1].append(vec_id)
+                        out[2].append(int(-score))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["query", "vec_id", "score"])
 
-    units = blocks.unionByName(packets).repartition(partitions(spark), "block", "size").sortWithinPartitions("block", "size", "kind")
+    units = blocks.unionByName(packets).repartition(partitions(spark), "node", "unit").sortWithinPartitions("node", "unit", "kind")
     found = units.mapInArrow(search, "query long, vec_id long, score long")
+    each = Window.partitionBy("query", "vec_id").orderBy(F.desc("score"))
+    found = found.withColumn("_n", F.row_number().over(each)).where(F.col("_n") <= k)
     ranked = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    found = found.withColumn("_n", F.row_number().over(ranked)).where(F.col("_n") <= k + 1)
-    named = asked.join(distinct, "x").select(F.col("vec_id").alias("query_id"), "query")
-    out = named.join(found, "query").where(F.col("vec_id") != F.col("query_id"))
+    found = found.withColumn("_n", F.row_number().over(ranked)).where(F.col("_n") <= k * (k + 1))
+    out = named.join(found.select("query", "vec_id", "score"), "query").where(F.col("vec_id") != F.col("query_id"))
     last = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     out = out.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k)
     return out.select("query_id", "rank", "vec_id", "score")
 
 
-def _pivots(bodies: list[bytes], size: int) -> np.ndarray:
-    fit = [b for b in bodies if len(b) == size][:PIVOTS]
-    return _matrix(fit) if fit else np.zeros((0, size // 8))
-
-
 def _packed(rows: DataFrame) -> DataFrame:
     """(vec_id, size, body): vectors as the bytes of their float64 components."""
 
@@ -238,8 +425,9 @@ def search_embeddings(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFr
     """The registered search: queries are the rows whose vec_id is divisible by `every`, candidates all rows.
 
     Components become floor(256 * x). Vectors that are null, empty, or hold null or
-    non-finite components take no part. Rows that repeat a vec_id are rows of their own,
-    and a repeated query's results are ranked once for the id. Extra columns are ignored.
+    non-finite components take no part. Rows that repeat a vec_id are rows of their own;
+    if they ask with several vectors, the best over all of them are ranked once for the id.
+    Extra columns are ignored.
     """
     rows = vectors.where(usable()).select(F.col("vec_id").cast("long").alias("vec_id"), quantized().alias("x"))
     return top_k(rows, rows.where(F.col("vec_id") % every == 0), k)

@@ -664,6 +664,45 @@ def test_m_tree_search(spark, monkeypatch):
     assert topk_search.search_embeddings(df.limit(0)).collect() == []
 
 
+def brute_top(rows, asked, k=5):
+    """rows: (vec_id, integer vector). Each asked id's best rows of other ids."""
+    out = []
+    for q in asked:
+        own = [v for i, v in rows if i == q][0]
+        scores = sorted((-int(own @ v), i) for i, v in rows if i != q)
+        out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores[:k])]
+    return sorted(out)
+
+
+def test_m_tree_prunes_blocks_of_a_deep_tree(spark, monkeypatch):
+    for name, value in {"BLOCK": 25, "FAN": 4, "PACKET": 7, "PACKETS": 2}.items():
+        monkeypatch.setattr(topk_search, name, value)
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((40, 12)) * 2
+    x = np.floor(256 * (np.repeat(centres, 40, axis=0) + 0.02 * rng.standard_normal((1600, 12))))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, x array<double>")
+    visited = []
+    descend = topk_search.descended
+    monkeypatch.setattr(topk_search, "descended", lambda *a: visited.append(topk_search.materialize(descend(*a))) or visited[0])
+    got = topk_search.top_k(df, df.where("vec_id % 16 = 0"))
+    rows = list(enumerate(x.astype(np.int64)))
+    assert sorted(map(tuple, got.collect())) == brute_top(rows, range(0, 1600, 16))
+    pairs = visited[0].select(F.sum(F.size("queries"))).first()[0]
+    assert pairs < 0.35 * 100 * (1600 / 25)
+
+
+def test_m_tree_search_with_repeated_ids_and_vectors(spark, monkeypatch):
+    monkeypatch.setattr(topk_search, "BLOCK", 10)
+    rng = np.random.default_rng(6)
+    x = rng.integers(-50, 50, (120, 6))
+    ids = [0] * 30 + [50] + list(range(100, 189))
+    x[40:100] = x[30]
+    rows = list(zip(ids, x, strict=True)) + [(120, x[3])] * 12
+    df = spark.createDataFrame([(int(i), [float(a) for a in v]) for i, v in rows], "vec_id long, x array<double>")
+    got = topk_search.top_k(df, df.where("vec_id in (50, 100, 188)"))
+    assert sorted(map(tuple, got.collect())) == brute_top(rows, [50, 100, 188])
+
+
 def test_m_tree_search_of_large_components(spark):
     data = [(i, [float((i * 37) % 11 - 5) * 1e6, 1.0 + i]) for i in range(20)]
     df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
