@@ -8,8 +8,10 @@ document's vector is brought to unit length, and a linear hinge-loss model is
 fitted by dual coordinate descent. Scores are the margins through a logistic
 curve fitted on documents that the model wasn't.
 
-Only the fit is bounded: it takes at most `sample` labelled rows, chosen by hash.
-Every document is scored on its whole text.
+Only the fit is bounded: it takes at most `sample` labelled documents, chosen by hash,
+and of these, in that order, as many as have SAMPLE_BYTES of features together. Every
+document is scored on its whole text; long texts are read in segments, whose n-grams
+run across their ends.
 """
 
 from __future__ import annotations
@@ -23,11 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .wordhash import _SPACE, _segments, buffers, fresh_memory, mix, release_memory
+from .spark_tools import drop, materialize
+from .wordhash import _SPACE, _segments, buffers, fingerprints, fresh_memory, mix, release_memory
 
 BITS = 18
-#: Labelled rows used for fitting, at most.
-SAMPLE = 6000
+#: Labelled documents used for fitting, at most, and bytes of their features (four for each) that reach the driver, at most.
+SAMPLE, SAMPLE_BYTES = 6000, 256 << 20
 THRESHOLD = 0.3
 
 _UPPER, _LOWER_, _DIGIT, _WIDE, _MARK = 1, 2, 4, 8, 16
@@ -58,25 +61,29 @@ def _byte_grams(data: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _shape_grams(data: np.ndarray) -> list[np.ndarray]:
-    """Distinct 1-, 2- and 3-grams of word shapes, as buckets."""
-    space = _SPACE[data]
-    inside = ~space
-    before = np.concatenate([[False], inside[:-1]])
-    begins = np.flatnonzero(inside & ~before)
+def _shapes(data: np.ndarray) -> list[np.ndarray]:
+    """Of each word of a segment: what kinds of characters it has, its first and last, its length's logarithm, and its fingerprints."""
+    inside = ~_SPACE[data]
+    begins = np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]]))
     if not len(begins):
-        return []
+        return [np.zeros(0, np.int64)] * 4 + [np.zeros(0, np.uint64)] * 2
     ends = np.flatnonzero(inside & ~np.concatenate([inside[1:], [False]])) + 1
-    kinds = np.bitwise_or.reduceat(_KIND[data] * inside, begins)
+    kinds = np.bitwise_or.reduceat(_KIND[data] * inside, begins).astype(np.int64)
     length = np.minimum(np.log2(ends - begins).astype(np.int64), 7)
-    total = np.concatenate([[0], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))])
-    same = np.zeros(len(begins), bool)
-    same[1:] = (total[ends[1:]] - total[begins[1:]] == total[ends[:-1]] - total[begins[:-1]]) & (length[1:] == length[:-1])
-    last, first = data[ends - 1].astype(np.int64), data[begins]
-    last = np.where(_KIND[last.astype(np.uint8)] == _MARK, last, 0)
-    first = _KIND[first].astype(np.int64)
-    shape = (((kinds.astype(np.int64) << 5 | first) << 8 | last) << 3 | np.minimum(length, 7)) << 1 | same
-    coarse = ((kinds.astype(np.int64) << 8 | last) << 1 | same).astype(np.uint64)
+    last = data[ends - 1]
+    last = np.where(_KIND[last] == _MARK, last, 0).astype(np.int64)
+    return [kinds, _KIND[data[begins]].astype(np.int64), last, length, *fingerprints(data, begins, ends)]
+
+
+def _shape_grams(shapes: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """Distinct 1-, 2- and 3-grams of the word shapes of a text's segments, as buckets."""
+    kinds, first, last, length, one, other = shapes[0] if len(shapes) == 1 else (np.concatenate(x) for x in zip(*shapes, strict=True))
+    if not len(kinds):
+        return []
+    same = np.zeros(len(kinds), bool)
+    same[1:] = (one[1:] == one[:-1]) & (other[1:] == other[:-1])
+    shape = (((kinds << 5 | first) << 8 | last) << 3 | length) << 1 | same
+    coarse = ((kinds << 8 | last) << 1 | same).astype(np.uint64)
     out = [_bucket(np.unique(shape).astype(np.uint64), 8)]
     rolled = coarse
     for n in (2, 3):
@@ -87,14 +94,16 @@ def _shape_grams(data: np.ndarray) -> list[np.ndarray]:
 
 
 def features(column: pa.Array) -> Iterator[np.ndarray]:
-    """Distinct feature buckets of each text; a null or empty text has none. Very long texts are read in segments."""
+    """Distinct feature buckets of each text; a null or empty text has none."""
     data, bounds = buffers(column)
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         found: list[np.ndarray] = []
+        shapes = []
         for start, stop in _segments(data[a:b], np.array([0, b - a])):
-            piece = data[a + start : a + stop]
-            found += _byte_grams(piece)
-            found += _shape_grams(piece)
+            found += _byte_grams(data[a + start : min(a + stop + 2, b)])
+            shapes.append(_shapes(data[a + start : a + stop]))
+        if shapes:
+            found += _shape_grams(shapes)
         yield np.unique(np.concatenate(found)) if found else np.zeros(0, np.int32)
 
 
@@ -196,26 +205,33 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 0) -> Model:
+def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 0, most_bytes: int = SAMPLE_BYTES) -> Model:
     """The model of at most `sample` labelled documents that aren't held out, chosen by a hash of their id.
 
-    Of several labels of one document the smallest counts; rows with a null label or id are ignored.
+    Of several labels of one document the smallest counts, of several rows the text with
+    the least hash; rows with a null label or id are ignored. Features that would pass
+    `most_bytes` together are left out, the last in order first.
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     picked = known.where(~held_out()).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(sample)
     picked = picked.select(F.col("doc_id").alias("_id"), "quality")
     texts = documents.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))
+    texts = texts.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with np.errstate(over="ignore"):
-            for batch in batches:
-                x = [row.astype("<i4").tobytes() for row in features(batch.column(2))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.binary())], names=["doc_id", "quality", "x"])
+        for batch in batches:
+            x = [row.astype("<i4").tobytes() for row in features(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.binary())], names=["doc_id", "quality", "x"])
 
     got = texts.select("doc_id", F.col("quality").cast("int").alias("quality"), "text")
     kind = documents.schema["doc_id"].dataType.simpleString()
-    table = got.mapInArrow(extract, f"doc_id {kind}, quality int, x binary").toArrow()
-    rows = sorted(zip(*(table.column(c).to_pylist() for c in ("doc_id", "x", "quality")), strict=True), key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0], r[1]))
+    kept = materialize(got.mapInArrow(extract, f"doc_id {kind}, quality int, x binary"))
+    sizes = sorted(((zlib.crc32(str(r[0]).encode()), r[0], r[1]) for r in kept.select("doc_id", F.octet_length("x")).collect()))
+    within = np.cumsum([r[2] for r in sizes]) <= most_bytes
+    fits = kept if within.all() else kept.where(F.col("doc_id").isin([r[1] for r, ok in zip(sizes, within.tolist(), strict=True) if ok]))
+    table = fits.toArrow()
+    drop(kept)
+    rows = sorted(zip(*(table.column(c).to_pylist() for c in ("doc_id", "x", "quality")), strict=True), key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0]))
     return fit([np.frombuffer(r[1], "<i4") for r in rows], np.array([r[2] for r in rows]))
 
 
@@ -239,7 +255,12 @@ def scored(documents: DataFrame, model: Model, name: str = "score") -> DataFrame
 
 
 def accepted(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
-    """The rows of documents, with their own columns, whose score is `threshold` at least."""
+    """The rows of documents, with their own columns, whose score is `threshold` at least.
+
+    Null and empty texts get the model's score for no features; rows that repeat a
+    doc_id are judged each for itself; an empty table stays empty; extra columns are
+    kept, whatever their names.
+    """
     out = scored(documents, train(documents, labels, sample), "_accepted_score")
     return out.where(F.col("_accepted_score") >= threshold).drop("_accepted_score")
 
@@ -247,8 +268,10 @@ def accepted(documents: DataFrame, labels: DataFrame, threshold: float = THRESHO
 def score_documents(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score and predicted (1 if score >= threshold) of every document.
 
-    A null or empty text has no features and gets the model's score for that. Labels of unknown
-    documents, and extra columns, are ignored; without usable labels every score is 0.5.
+    A null or empty text has no features and gets the model's score for that. Texts of
+    any length are scored whole. Rows that repeat a doc_id are scored each for itself.
+    Labels of unknown documents, and extra columns, are ignored; without usable labels
+    every score is 0.5.
     """
     out = scored(documents.select("doc_id", "text"), train(documents, labels, sample))
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -554,6 +554,84 @@ def test_quality_learns_and_ignores_held_out_labels(spark, sf_dir):
     assert np.allclose(a, b)
 
 
+def plain_features(text):
+    """The features of a text by their definition, over words and bytes one by one."""
+    raw, out = (text or "").encode(), set()
+    mixed = lambda h: int(wordhash.mix(np.array([h % 2**64], np.uint64))[0])
+    bucket = lambda code, salt: mixed(code + (salt << 56)) >> (64 - quality.BITS)
+    for n in (2, 3):
+        out |= {bucket(int.from_bytes(g, "big"), n) for g in {raw[i : i + n] for i in range(len(raw) - n + 1)}}
+    kind = lambda c: 1 if 65 <= c <= 90 else 2 if 97 <= c <= 122 else 4 if 48 <= c <= 57 else 8 if c >= 128 else 16
+    shape, coarse, before = [], [], None
+    for word in re.findall(rb"[^\x20\x09-\x0D]+", raw):
+        kinds = 0
+        for c in set(word):
+            kinds |= kind(c)
+        last, same = word[-1] if kind(word[-1]) == 16 else 0, int(word == before)
+        shape.append((((kinds << 5 | kind(word[0])) << 8 | last) << 3 | min(len(word).bit_length() - 1, 7)) << 1 | same)
+        coarse.append((kinds << 8 | last) << 1 | same)
+        before = word
+    out |= {bucket(x, 8) for x in shape}
+    two = [mixed(a + 2 * b) for a, b in zip(coarse, coarse[1:], strict=False)]
+    three = [mixed(a + 3 * b) for a, b in zip(two, coarse[2:], strict=False)]
+    return out | {bucket(x, 10) for x in set(two)} | {bucket(x, 11) for x in set(three)}
+
+
+def test_quality_features_are_those_of_the_whole_text(monkeypatch):
+    texts = [t for t in TEXTS if t is None or len(t) < 60_000] + ["stop pots pots stop stop", LONG[:40_000]] + mixed_scripts(3, 40)
+    want = [plain_features(t) for t in texts]
+    for segment in (1 << 18, 700):
+        monkeypatch.setattr(wordhash, "SEGMENT", segment)
+        assert [set(x.tolist()) for x in quality.features(pa.array(texts))] == want
+
+
+def plain_descent(rows, scale, y, cost, rounds, seed):
+    w, bias, alpha = Counter(), 0.0, [0.0] * len(rows)
+    values = []
+    for x in rows:
+        length = math.sqrt(sum(scale[i] ** 2 for i in x))
+        values.append({i: scale[i] / length if length else scale[i] for i in x})
+    rng = np.random.default_rng(seed)
+    for _ in range(rounds):
+        moved = 0.0
+        for i in rng.permutation(len(rows)):
+            gradient = y[i] * (sum(w[j] * v for j, v in values[i].items()) + bias) - 1
+            new = min(max(alpha[i] - gradient / (sum(v * v for v in values[i].values()) + 1), 0.0), cost)
+            step, alpha[i] = (new - alpha[i]) * y[i], new
+            for j, v in values[i].items():
+                w[j] += step * v
+            bias += step
+            moved = max(moved, abs(step))
+        if moved < 1e-3 * cost:
+            break
+    return w, bias
+
+
+def test_dual_descent_is_the_plain_one():
+    rng = np.random.default_rng(2)
+    rows = [np.unique(rng.integers(0, 50, 12)) for _ in range(60)]
+    y = np.where(rng.random(60) < 0.5, 1.0, -1.0)
+    scale = rng.standard_normal(50)
+    w, bias = quality._dual_descent(rows, scale, y, 1.0, 8, 0)
+    plain, plain_bias = plain_descent([r.tolist() for r in rows], scale.tolist(), y.tolist(), 1.0, 8, 0)
+    assert bias == pytest.approx(plain_bias) and w == pytest.approx([plain[i] for i in range(50)])
+
+
+def test_quality_sample_is_bounded_in_rows_and_bytes(spark, monkeypatch):
+    rows = [(i, f"text number {i} " * (1 + i % 7)) for i in range(60)] + [(7, "again and again")] * 500
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    seen = []
+    fitted = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda x, y, **more: seen.append(x) or fitted(x, y, **more))
+    quality.train(docs, labels)
+    quality.train(docs, labels, sample=20)
+    quality.train(docs, labels, most_bytes=4000)
+    inside = sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(60))
+    assert [len(x) for x in seen[:2]] == [inside, 20]
+    assert 0 < len(seen[2]) < inside and 4 * sum(map(len, seen[2])) <= 4000
+
+
 def test_quality_of_odd_rows(spark, docs, odd, empty):
     labels = spark.createDataFrame([(5, 1), (9, 0), (None, 1), (4, None), (99, 1)], "doc_id long, quality int")
     rows = rows_of(quality.score_documents(odd, labels))
