@@ -115,9 +115,3 @@ def gates(stats: DataFrame, last: DataFrame, settings: DataFrame, now: Column) -
 
 def candidates(stats: DataFrame, dead_gate: float) -> DataFrame:
     return stats.where(~F.col("spare") & (F.col("total") > 0) & (F.col("dead_ratio") > dead_gate)).select(F.col("id").alias("vol"), "dead_ratio")
-
-
-def seg_index_totals(seg_index: DataFrame) -> DataFrame:
-    """seg_index with each segment's running total within its volume."""
-    order = Window.partitionBy("vol").orderBy("seg")
-    return seg_index.withColumn("through", F.sum("bytes").over(order))

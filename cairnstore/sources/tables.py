@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 from ..operators.history import CHECKPOINT_INTERVAL
 
 SLICE = 1 << 10
-#: Tables of fewer bytes are dealt anew before their texts are worked on.
-SPREAD = 64 << 20
 #: A compaction every so many versions, half-way between; it never falls on a checkpoint's version.
 COMPACT_EVERY = 1000
 
@@ -27,10 +25,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A small table dealt to all cores: its one file with one row group would keep one of them busy. Others are left as they are."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """A table dealt to all cores if its files are fewer: a row group is read by one task, whatever its size."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if size < SPREAD and cores > 1 else df
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def file_name(kind: str, number: Column) -> Column:
@@ -48,15 +45,8 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "pages").select("page_id", "html")).select(file_name("page", F.col("page_id")).alias("name"), content.alias("content"))
 
 
-def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """files(name, content), one for each conversation: its turns in order, a line each."""
-    turns = table(spark, sf_dir, "conversations").groupBy("conv_id")
-    ordered = F.array_sort(F.collect_list(F.struct("turn", F.concat_ws(": ", "role", "text").alias("line"))))
-    joined = turns.agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("text"))
-    return joined.select(file_name("conv", F.col("conv_id")).alias("name"), F.col("text").cast("binary").alias("content"))
-
-
 def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir, or a temporary one where driver and executors are one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
@@ -64,6 +54,8 @@ def shared_dir(spark: SparkSession) -> str:
     at = context._jsc.sc().getCheckpointDir()
     if at.isDefined():
         return at.get()
+    if not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="cairnstore-"))
     return context._jsc.sc().getCheckpointDir().get()
 
