@@ -233,6 +233,12 @@ def _compare(f: int, rows: list[tuple], sides: np.ndarray | None, cosine: float,
     return linked @ copies, forest
 
 
+def _keys() -> list[Column]:
+    """Two hashes by which rows find the class of their vector."""
+    size = F.size("embedding")
+    return [F.xxhash64("embedding", size).alias("_key"), F.xxhash64(F.lit(1), size, "embedding").alias("_check")]
+
+
 def near_duplicates(vectors: DataFrame, cosine: float = 0.95, seed: int = 0) -> DataFrame:
     """Per row: vec_id, n_links, component_id and kept (vec_id = component_id).
 
@@ -247,7 +253,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, seed: int = 0) ->
     rows = vectors.select("vec_id", "embedding", (usable() & F.col("vec_id").isNotNull()).alias("_ok"))
     good = rows.where("_ok")
     classes = good.groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"))
-    classes = materialize(classes.select(F.xxhash64("embedding", F.size("embedding")).alias("class"), "least", "copies", "embedding"))
+    classes = materialize(classes.select(F.monotonically_increasing_id().alias("class"), *_keys(), "least", "copies", "embedding"))
     counts = classes.groupBy(F.size("embedding").alias("length")).count().collect()
     layout = {r["length"]: sizes(r["count"], cosine, r["length"]) for r in counts}
     kind = np.float32 if classes.schema["embedding"].dataType.elementType.typeName() == "float" else np.float64
@@ -305,16 +311,16 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, seed: int = 0) ->
     found = materialize(spread_out.mapInArrow(verify, "class long, links long, other long"))
     links = found.groupBy("class").agg(F.sum("links").alias("_links"))
     linked = components(found.where("other is not null").select(F.col("class").alias("a"), F.col("other").alias("b")))
-    named = classes.select("class", "least", "copies").join(linked, F.col("class") == F.col("node"), "left")
+    named = classes.select("class", "_key", "_check", "least", "copies").join(linked, F.col("class") == F.col("node"), "left")
     least = named.where("component is not null").groupBy("component").agg(F.min("least").alias("_of_all"))
     named = named.join(least, "component", "left").join(links, "class", "left")
     named = named.select(
-        F.col("class").alias("_class"),
+        "_key",
+        "_check",
         (F.coalesce("_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
         F.coalesce("_of_all", "least").alias("component_id"),
     )
-    keyed = good.select("vec_id", F.xxhash64("embedding", F.size("embedding")).alias("_key"))
-    out = keyed.join(named, F.col("_key") == F.col("_class")).select("vec_id", "n_links", "component_id")
+    out = good.select("vec_id", *_keys()).join(named, ["_key", "_check"]).select("vec_id", "n_links", "component_id")
     alone = rows.where(~F.col("_ok")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = out.unionByName(alone)
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -3,24 +3,12 @@
 from __future__ import annotations
 
 import itertools
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one set here where none is (tests, local runs)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    context = spark.sparkContext
-    at = context._jsc.sc().getCheckpointDir()
-    if at.isDefined():
-        return at.get()
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="cairnstore-"))
-    return context._jsc.sc().getCheckpointDir().get()
+from ..sources.tables import shared_dir
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -122,6 +122,14 @@ def test_shards(docs, odd, empty):
     assert sorted(map(str, rows)) == sorted(map(str, again))
 
 
+def test_shards_and_slots_are_those_of_the_permuted_row_numbers(spark):
+    rows = [(i * 37 % 211, f"text {i * 37 % 211}") for i in range(211)]
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 8).collect()
+    places = sharding.permute(np.arange(211), 211, 0)
+    for r in got:
+        assert (r["shard"], r["slot"]) == (places[r["doc_id"]] % 8, places[r["doc_id"]] // 8)
+
+
 def brute_targets(sizes, weights=(3, 1, 2), share=1.5, most=2.0):
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     w = {s: weights[k % len(weights)] for k, s in enumerate(order)}
@@ -687,6 +695,14 @@ def test_spherical_caps(spark, monkeypatch):
     assert embedding_dedup.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_spherical_caps_of_repeated_ids(spark):
+    v, w, z = [1.0, 0.0, 0.0, 0.0], [0.999, 0.01, 0.0, 0.0], [0.0, 0.0, 1.0, 0.0]
+    rows = [(5, v), (5, v), (3, w), (5, z), (9, z), (2, None), (2, v)]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    want = [(5, 3, 2), (5, 3, 2), (3, 3, 2), (5, 1, 5), (9, 1, 5), (2, 0, 2), (2, 3, 2)]
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == sorted(want)
+
+
 def test_spherical_caps_in_blocks(spark, monkeypatch):
     df, _ = vectors(spark, 4)
     whole = sorted(map(str, embedding_dedup.near_duplicates(df).collect()))
