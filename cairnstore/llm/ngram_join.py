@@ -389,8 +389,9 @@ def chained(entries: DataFrame, num: int, den: int) -> DataFrame:
     width = max(math.log(den / num), 1e-9) * (1 + 1e-6)
     band = F.floor(F.log(F.col("n")) / F.lit(width))
     rows = entries.select("h", "class", band.alias("band"))
-    leaders = rows.groupBy("h", "band").agg(F.min("class").alias("lead"))
-    members = rows.join(leaders, ["h", "band"]).where("class != lead").select(F.col("class").alias("a"), F.col("lead").alias("b"))
+    leaders = materialize(rows.groupBy("h", "band").agg(F.min("class").alias("lead")))
+    small = broadcast_if_small(leaders, leaders.count(), SMALL)
+    members = rows.join(small, ["h", "band"]).where("class != lead").select(F.col("class").alias("a"), F.col("lead").alias("b"))
     following = leaders.select("h", (F.col("band") - 1).alias("band"), F.col("lead").alias("b"))
     return members.unionByName(leaders.join(following, ["h", "band"]).where("lead != b").select(F.col("lead").alias("a"), "b")).distinct()
 
