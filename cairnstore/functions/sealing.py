@@ -19,8 +19,9 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
-from .chunking import CHUNK_LIMIT
+from .chunking import CHUNK_LIMIT, ChunkerParams, cut_points
 
 FORMAT_VERSION = 1
 ZSTD_LEVEL = 3
@@ -78,6 +79,28 @@ def associated() -> Column:
     return F.lit(f"v{FORMAT_VERSION}".encode())
 
 
+_PREPARED = "plaintext_hash string, _packed binary, _key binary, _iv binary"
+#: Bytes of chunks that a task holds before it passes them on.
+_HELD = 1 << 24
+
+
+def _prepared(bodies: list[bytes], key: bytes, packer) -> list[pa.Array]:
+    """The columns _PREPARED of some plaintexts."""
+    hashes = [hashlib.sha256(b).digest() for b in bodies]
+    return [
+        pa.array([h.hex() for h in hashes], pa.string()),
+        pa.array([packer.compress(b) for b in bodies], pa.binary()),
+        pa.array([prf(key, b"key", h) for h in hashes], pa.binary()),
+        pa.array([prf(key, b"nonce", h)[:12] for h in hashes], pa.binary()),
+    ]
+
+
+def _encrypted(prepared: DataFrame) -> DataFrame:
+    cipher = F.aes_encrypt("_packed", "_key", F.lit("GCM"), F.lit("DEFAULT"), F.col("_iv"), associated())
+    out = prepared.withColumn("ciphertext", cipher).drop("_packed", "_key", "_iv")
+    return out.withColumn("chunk_id", F.sha2("ciphertext", 256)).withColumn("clen", F.octet_length("ciphertext").cast("long"))
+
+
 def sealed(chunks: DataFrame, keys: Keys, level: int = ZSTD_LEVEL) -> DataFrame:
     """chunks (with data) with plaintext_hash, ciphertext, chunk_id (of the ciphertext) and clen; data is dropped."""
     key = keys.chunk
@@ -88,22 +111,48 @@ def sealed(chunks: DataFrame, keys: Keys, level: int = ZSTD_LEVEL) -> DataFrame:
 
         packer = zstandard.ZstdCompressor(level=level)
         for batch in batches:
-            bodies = [x or b"" for x in batch.column(len(names)).to_pylist()]
-            hashes = [hashlib.sha256(b).digest() for b in bodies]
-            added = [
-                pa.array([h.hex() for h in hashes]),
-                pa.array([packer.compress(b) for b in bodies], pa.binary()),
-                pa.array([prf(key, b"key", h) for h in hashes], pa.binary()),
-                pa.array([prf(key, b"nonce", h)[:12] for h in hashes], pa.binary()),
-            ]
+            added = _prepared([x or b"" for x in batch.column(len(names)).to_pylist()], key, packer)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *added], names=[*names, "plaintext_hash", "_packed", "_key", "_iv"])
 
-    kept = ", ".join(f"`{c}` {chunks.schema[c].dataType.simpleString()}" for c in names)
-    schema = f"{kept}, plaintext_hash string, _packed binary, _key binary, _iv binary"
-    out = chunks.select(*names, "data").mapInArrow(prepare, schema)
-    cipher = F.aes_encrypt("_packed", "_key", F.lit("GCM"), F.lit("DEFAULT"), F.col("_iv"), associated())
-    out = out.withColumn("ciphertext", cipher).drop("_packed", "_key", "_iv")
-    return out.withColumn("chunk_id", F.sha2("ciphertext", 256)).withColumn("clen", F.octet_length("ciphertext").cast("long"))
+    kept = "".join(f"`{c}` {chunks.schema[c].dataType.simpleString()}, " for c in names)
+    return _encrypted(chunks.select(*names, "data").mapInArrow(prepare, f"{kept}{_PREPARED}"))
+
+
+def sealed_files(files: DataFrame, keys: Keys, avg: int, seed: int, level: int = ZSTD_LEVEL) -> DataFrame:
+    """sealed() of the chunks (name, idx, offset, len) of files(name, content): cut, hashed, compressed and keyed in one pass.
+
+    A null content is empty and has no chunks. A file's rows are emitted in bounded batches.
+    """
+    key, params = keys.chunk, ChunkerParams.from_avg(avg)
+
+    def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        packer = zstandard.ZstdCompressor(level=level)
+        rows: list[tuple[str, int, int, int]] = []
+        bodies: list[bytes] = []
+        held = 0
+
+        def out() -> pa.RecordBatch:
+            name, idx, offset, length = zip(*rows, strict=True)
+            columns = [pa.array(name, pa.string()), *(pa.array(c, pa.int64()) for c in (idx, offset, length)), *_prepared(bodies, key, packer)]
+            return pa.RecordBatch.from_arrays(columns, names=["name", "idx", "offset", "len", "plaintext_hash", "_packed", "_key", "_iv"])
+
+        for batch in batches:
+            for name, content in zip(batch.column(0), batch.column(1), strict=True):
+                body, start = content.as_py() or b"", 0
+                for k, end in enumerate(cut_points(body, params, seed)):
+                    rows.append((name.as_py(), k, start, end - start))
+                    bodies.append(body[start:end])
+                    held += end - start
+                    start = end
+                    if held > _HELD:
+                        yield out()
+                        rows, bodies, held = [], [], 0
+        if rows:
+            yield out()
+
+    return _encrypted(files.select("name", "content").mapInArrow(prepare, f"name string, idx long, offset long, len long, {_PREPARED}"))
 
 
 def opened(rows: DataFrame, keys: Keys, strict: bool = True) -> DataFrame:
@@ -115,29 +164,26 @@ def opened(rows: DataFrame, keys: Keys, strict: bool = True) -> DataFrame:
     key = keys.chunk
     names = [c for c in rows.columns if c not in ("data", "_packed")]
 
-    def with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = names.index("plaintext_hash")
-        for batch in batches:
-            ks = [prf(key, b"key", bytes.fromhex(h)) for h in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ks, pa.binary())], names=[*names, "_key"])
+    @arrow_udf("binary")
+    def key_of(hashes: pa.Array) -> pa.Array:
+        return pa.array([prf(key, b"key", bytes.fromhex(h)) for h in hashes.to_pylist()], pa.binary())
 
-    kept = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names)
-    keyed = rows.select(*names).mapInArrow(with_key, f"{kept}, _key binary")
-    plain = F.try_aes_decrypt("ciphertext", "_key", F.lit("GCM"), F.lit("DEFAULT"), associated())
-    packed = keyed.withColumn("_packed", plain).drop("_key")
+    plain = F.try_aes_decrypt("ciphertext", key_of("plaintext_hash"), F.lit("GCM"), F.lit("DEFAULT"), associated())
+    kept_names = [c for c in names if c != "ciphertext"]
+    packed = rows.select(*kept_names, plain.alias("_packed"))
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         unpacker = zstandard.ZstdDecompressor()
-        at = names.index("plaintext_hash")
+        at = kept_names.index("plaintext_hash")
         for batch in batches:
             out: list[bytes | None] = []
-            for h, body in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
+            for h, body in zip(batch.column(at).to_pylist(), batch.column(len(kept_names)), strict=True):
                 data = None
-                if body is not None:
+                if body.is_valid:
                     try:
-                        data = unpacker.decompress(body, max_output_size=CHUNK_LIMIT)
+                        data = unpacker.decompress(body.as_buffer(), max_output_size=CHUNK_LIMIT)
                     except zstandard.ZstdError:
                         data = None
                     if data is not None and hashlib.sha256(data).hexdigest() != h:
@@ -145,9 +191,10 @@ def opened(rows: DataFrame, keys: Keys, strict: bool = True) -> DataFrame:
                 if data is None and strict:
                     raise ValueError("a chunk doesn't open: wrong key or corrupted bytes")
                 out.append(data)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(out, pa.binary())], names=[*names, "data"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept_names)], pa.array(out, pa.binary())], names=[*kept_names, "data"])
 
-    return packed.select(*names, "_packed").mapInArrow(unpack, f"{kept}, data binary")
+    kept = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept_names)
+    return packed.mapInArrow(unpack, f"{kept}, data binary")
 
 
 def hmac_sha256(key: Column, message: Column) -> Column:

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from ..functions import chunking, parsing, sealing
 from ..operators import chunked, compaction, history, placement
 from ..sources import tables
-from . import oracles
+from . import oracles, stored
 from .scenario import AVG, SEED, Scenario
 
 Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
+QUERIES: dict[str, Query] = dict(stored.QUERIES)
 ORACLE_SQL: dict[str, str] = oracles.SQL
 
 #: Keys of the registered sealing queries; a store's own come from its keyfile.
@@ -122,7 +122,7 @@ def fanout_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def chunk_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = Scenario(spark, sf_dir)
-    wanted = s.slices.where("idx = 0").select("chunk_id").distinct()
+    wanted = s.slices.select("chunk_id").distinct()
     return s.chunk_store.join(wanted, "chunk_id", "left_semi").select("vol", "seg", "chunk_id", "clen")
 
 
@@ -308,7 +308,8 @@ def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segment k was written at second k; a quarter of an hour before the last one is still safe."""
     s = Scenario(spark, sf_dir)
     segments = s.segments.select("vol", "seg", F.col("put_ord").alias("ts"))
-    return compaction.orphans(segments, s.live, oracles.NOW, oracles.WINDOW)
+    now = segments.agg(F.coalesce(F.max("ts"), F.lit(0))).first()[0]
+    return compaction.orphans(segments, s.live, now, oracles.WINDOW)
 
 
 @query
@@ -389,7 +390,7 @@ def zstd_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sealed_chunks(spark: SparkSession, sf_dir: str, keys: sealing.Keys = KEYS) -> DataFrame:
-    return sealing.sealed(_cdc(spark, sf_dir, hashed=False), keys)
+    return sealing.sealed_files(tables.documents(spark, sf_dir), keys, AVG, SEED)
 
 
 @query
@@ -427,7 +428,7 @@ def store_disjoint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def txn_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document's put record, sealed under a random nonce and decoded again."""
+    """Each document's put record, sealed as chunks and manifests are, and decoded again."""
     m = Scenario(spark, sf_dir).manifests
     record = m.select("name", F.to_json(F.struct(F.lit("delta").alias("kind"), "name", "chunks")).alias("json"))
     sealed_rows = sealing.sealed(record.select("name", F.col("json").cast("binary").alias("data")), KEYS)

@@ -14,7 +14,8 @@ PROJECTED = (0, 1 << 10, 1 << 20, 40 << 20, 63 << 20, 200 << 20)
 DEAD_GATE = 0.02
 LATER = 3600
 SETTINGS = ((0.8, 86_400, False), (0.8, 86_400, True), (0.001, 60, False), (0.001, 10**9, False), (0.001, 10**9, True))
-NOW, WINDOW = 1000, 900
+WINDOW = 900
+STORE_VOLUMES = (("v0", 256 << 20), ("v1", 256 << 20), ("v2", 512 << 20))
 TARGETS = ("v0", "v2", "v3")
 TAG_KEY = b"name tags of the registered query"
 SIZES = ("512k", "1m", "1048576", " 2K ", "16m", "17m", "1023", "1024", "0", "", "k", "-1", "1.5m", "1g", "64 k", "00004096", "99999999999999")
@@ -34,7 +35,7 @@ docs AS (SELECT doc_id AS put_ord, 'doc-' || lpad(CAST(doc_id AS VARCHAR), 9, '0
 """
 
 
-def _cdc(source: str = FILES, texts: str = "docs") -> str:
+def _cdc(source: str = FILES, texts: str = "docs", seed: int = SEED) -> str:
     """Chunks (name, idx, pos, len, h) of every file by the cut rule; to be put after WITH RECURSIVE.
 
     Each byte's hash over the last bits + 2 bytes is a sum over a window; positions that match a
@@ -44,7 +45,7 @@ def _cdc(source: str = FILES, texts: str = "docs") -> str:
     p = ChunkerParams.from_avg(AVG)
     w = p.bits + 2
     hard, easy = p.masks
-    gear = ", ".join(str(g & hard) for g in gear_table(SEED))
+    gear = ", ".join(str(g & hard) for g in gear_table(seed))
     lags = " + ".join(f"coalesce(lag(g, {k}) OVER o, 0) * {1 << k}" for k in range(1, w))
     return f"""{source},
 gear AS (SELECT [{gear}] AS t),
@@ -181,7 +182,7 @@ SQL: dict[str, str] = {
     "verify_chunks": f"WITH {FILES} SELECT name, true AS ok FROM docs",
     "noop_reputs": "SELECT 'doc-' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS name, coalesce(contains(text, chr(10)), false) AS committed FROM documents",
     "fanout_path": f"WITH {_SLICES} SELECT DISTINCT chunk_id, {_PATH} AS path FROM slices",
-    "chunk_lookup": _with_store("SELECT vol, seg, chunk_id, clen FROM store WHERE chunk_id IN (SELECT chunk_id FROM slices WHERE idx = 0)"),
+    "chunk_lookup": _with_store("SELECT vol, seg, chunk_id, clen FROM store WHERE chunk_id IN (SELECT chunk_id FROM slices)"),
     "chunk_presence": _with_store(
         f""", html AS (SELECT hex(encode(coalesce(html, ''))) AS h FROM pages),
         asked AS (SELECT sha256(unhex(substr(h, CAST({2 * SLICE} * i + 1 AS BIGINT), {2 * SLICE}))) AS chunk_id
@@ -238,7 +239,9 @@ SQL: dict[str, str] = {
     "compaction_conflict": _with_store(
         "SELECT vol, bool_or(id NOT IN (SELECT id FROM live)) AS conflict FROM refs WHERE vol IN (SELECT vol FROM live) GROUP BY vol"
     ),
-    "orphans": _with_store(f"SELECT vol, seg FROM segments WHERE {NOW} - put_ord >= {WINDOW} AND (vol, seg) NOT IN (SELECT (vol, seg) FROM live)"),
+    "orphans": _with_store(
+        f"SELECT vol, seg FROM segments WHERE (SELECT max(put_ord) FROM segments) - put_ord >= {WINDOW} AND (vol, seg) NOT IN (SELECT (vol, seg) FROM live)"
+    ),
     "mirror_missing": f"SELECT id AS vol FROM (VALUES {', '.join(f'({chr(39)}{v}{chr(39)})' for v, _, _ in VOLUMES)}) t(id) WHERE id NOT IN {TARGETS}",
     "mirror_diff": f"""WITH RECURSIVE {_scenario()}, {_LOG}
         SELECT 'segment' AS kind, 'volumes/' || vol || '/' || seg AS path FROM segments WHERE put_ord > {PUT_PIN}
@@ -262,3 +265,66 @@ SQL: dict[str, str] = {
     "store_disjoint": "SELECT CAST(0 AS BIGINT) AS shared",
     "txn_decode": _with_store("SELECT DISTINCT name, true AS ok FROM live"),
 }
+
+# The store that is really written (stored.py): what its log says and what it gives back, from the tables alone.
+
+_ALIVE = """
+docs AS (SELECT doc_id, 'doc-' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS name, coalesce(text, '') AS t,
+    doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL) AS toxic FROM documents),
+pgs AS (SELECT 'page-' || lpad(CAST(page_id AS VARCHAR), 9, '0') AS name, coalesce(html, '') AS t FROM pages)
+"""
+_KINDS = "(VALUES (0, 'delta'), (1, 'delta'), (2, 'checkpoint'), (3, 'compact'), (4, 'delta'), (5, 'checkpoint'), (6, 'delta')) k(v, kind)"
+_LEFT = "SELECT name, t FROM docs WHERE doc_id % 3 <> 0 AND NOT toxic UNION ALL SELECT name, t FROM pgs"
+_AT = """SELECT 0 AS v, t FROM docs WHERE doc_id % 3 = 0 UNION ALL SELECT 1, t FROM docs WHERE doc_id % 3 < 2
+  UNION ALL SELECT u, t FROM docs, (VALUES (2), (3)) x(u) WHERE doc_id % 3 = 1 UNION ALL SELECT 4, t FROM docs WHERE doc_id % 3 > 0
+  UNION ALL SELECT u, t FROM docs, (VALUES (5), (6)) x(u) WHERE doc_id % 3 > 0 AND NOT toxic UNION ALL SELECT 6, t FROM pgs"""
+_SNAPSHOTS = f"""WITH {_ALIVE} SELECT CAST(v AS BIGINT) AS version, count(*) AS n_files, CAST(sum(octet_length(encode(t))) AS BIGINT) AS bytes
+  FROM ({_AT}) GROUP BY v"""
+_LOG_KINDS = f"SELECT CAST(v AS BIGINT) AS version, kind FROM {_KINDS}"
+#: Chunks of documents (by thirds) and pages in the order of their puts, as a plain store cuts them.
+_PUTS = (
+    "WITH RECURSIVE "
+    + _cdc(
+        """docs AS (SELECT 'd' || doc_id AS name, hex(encode(coalesce(text, ''))) AS h, CAST(CASE doc_id % 3 WHEN 2 THEN 2 ELSE doc_id % 3 END AS BIGINT) AS put FROM documents
+    UNION ALL SELECT 'p' || page_id, hex(encode(coalesce(html, ''))), 3 FROM pages)""",
+        seed=0,
+    )
+    + """, cut AS (SELECT put, chunk_id, len FROM chunks JOIN docs USING (name)),
+  known AS (SELECT put, chunk_id, min(len) AS len, count(*) AS n FROM cut GROUP BY put, chunk_id),
+  gone AS (SELECT chunk_id FROM known WHERE put = 0 AND chunk_id NOT IN (SELECT chunk_id FROM known WHERE put = 1)),
+  toxic AS (SELECT 'd' || doc_id AS name FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL),
+  live2 AS (SELECT DISTINCT chunk_id FROM chunks JOIN docs USING (name) WHERE put IN (1, 2) AND name NOT IN (SELECT name FROM toxic)),
+  fresh AS (SELECT put, chunk_id, len, CASE put WHEN 0 THEN true WHEN 1 THEN chunk_id NOT IN (SELECT chunk_id FROM known WHERE put = 0)
+      WHEN 2 THEN chunk_id NOT IN (SELECT chunk_id FROM known WHERE put = 1) ELSE chunk_id NOT IN (SELECT chunk_id FROM live2) END AS new FROM known)
+"""
+)
+
+SQL |= {
+    "store_log": _LOG_KINDS,
+    "store_tail": _LOG_KINDS,
+    "store_snapshots": _SNAPSHOTS,
+    "store_snapshots_sealed": _SNAPSHOTS,
+    "store_get": f"WITH {_ALIVE} SELECT name, sha256(t) AS file_hash FROM ({_LEFT})",
+    "store_mirror": f"WITH {_ALIVE} SELECT name, sha256(t) AS file_hash FROM ({_LEFT})",
+    "store_put_stats": _PUTS
+    + """, sizes AS (SELECT put, sum(len(h) // 2) AS size FROM docs GROUP BY put),
+      counts AS (SELECT put, count(*) AS total FROM cut GROUP BY put),
+      added AS (SELECT put, count(*) AS n, sum(len) AS bytes FROM fresh WHERE new GROUP BY put)
+      SELECT put, total AS total_chunks, coalesce(n, 0) AS new_chunks, total - coalesce(n, 0) AS deduped, CAST(coalesce(bytes, 0) AS BIGINT) AS new_bytes, CAST(size AS BIGINT) AS size
+      FROM sizes JOIN counts USING (put) LEFT JOIN added USING (put)""",
+    # The first put's volume is emptied into the spare, the third put's goes where more room is: the emptied one.
+    "store_seg_index": _PUTS
+    + """SELECT vol, CAST(sum(len) AS BIGINT) AS bytes FROM (
+      SELECT 'v2' AS vol, len FROM known WHERE put = 0 AND chunk_id IN (SELECT chunk_id FROM known WHERE put = 1)
+      UNION ALL SELECT 'v1', len FROM fresh WHERE put = 1 AND new
+      UNION ALL SELECT 'v0', len FROM fresh WHERE put = 2 AND new
+      UNION ALL SELECT (SELECT CASE WHEN coalesce(sum(len) FILTER (WHERE put = 2), 0) <= coalesce(sum(len) FILTER (WHERE put = 1), 0) THEN 'v0' ELSE 'v1' END FROM fresh WHERE new),
+        len FROM fresh WHERE put = 3 AND new) GROUP BY vol""",
+    "store_segment_listing": _PUTS
+    + f"""SELECT DISTINCT {_PATH} AS path, len AS bytes FROM (SELECT chunk_id, len FROM fresh WHERE new AND put > 0
+      UNION SELECT chunk_id, len FROM known WHERE put = 0 AND chunk_id IN (SELECT chunk_id FROM known WHERE put = 1))""",
+    "store_refusals": "SELECT * FROM (VALUES ('first', true), ('again', false), ('same', false), ('won', true), ('lost', false), ('second init refused', true)) t(what, yes)",
+    "store_orphans_swept": f"WITH {_ALIVE} SELECT name, sha256(t) AS file_hash, CAST(1 AS BIGINT) AS swept FROM docs WHERE doc_id % 3 = 0",
+    "store_ingest": f"WITH {_ALIVE} SELECT name, CAST(octet_length(encode(t)) AS BIGINT) AS size, sha256(t) AS file_hash FROM docs WHERE doc_id % 3 = 1",
+    "store_config": "SELECT CAST(1024 AS BIGINT) AS avg_size, CAST(3 AS BIGINT) AS zstd_level, CAST(3 AS BIGINT) AS checkpoint_interval, true AS sealed, CAST(o AS BIGINT) AS ord, v AS volume, CAST(m * 1048576 AS BIGINT) AS threshold, o = 2 AS spare FROM (VALUES (0, 'v0', 256), (1, 'v1', 256), (2, 'v2', 512)) t(o, v, m)",
+}

@@ -21,9 +21,10 @@ import secrets
 import time
 from collections.abc import Callable, Iterable
 from dataclasses import asdict, dataclass, field
+from functools import reduce
 from typing import BinaryIO
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .files import Files
@@ -47,6 +48,7 @@ HOOKS = (
     "compact-before-cas",
     "compact-after-cas",
     "compact-before-delete",
+    "before-sweep",
 )
 
 
@@ -123,6 +125,21 @@ class State:
     def since(self) -> int:
         return len(self.records)
 
+    def apply(self, record: dict) -> None:
+        """What a record says about segments: sealed ones come first, then those of retired volumes and swept ones go."""
+        for s in record.get("seals") or ():
+            self.seals[s["vol"], s["seg"]] = s["bytes"]
+        retired, swept = set(record.get("retired") or ()), {tuple(x) for x in record.get("swept") or ()}
+        if retired or swept:
+            self.seals = {k: b for k, b in self.seals.items() if k[0] not in retired and k not in swept}
+
+    def gone(self, since: int) -> tuple[set[str], set[tuple[str, str]]] | None:
+        """Volumes retired and segments swept after a version; None if records of that time are folded into a checkpoint."""
+        if self.base is not None and self.base > since:
+            return None
+        late = [r for r in self.records if r["version"] > since]
+        return {v for r in late for v in r.get("retired") or ()}, {tuple(x) for r in late for x in r.get("swept") or ()}
+
     def used(self) -> dict[str, int]:
         out: dict[str, int] = {}
         for (vol, _), size in self.seals.items():
@@ -240,13 +257,11 @@ class Store:
                 break
             records.append(record)
         records.reverse()
-        for record in records:
-            for s in record.get("seals", ()):
-                seals[s["vol"], s["seg"]] = s["bytes"]
-            for vol in record.get("retired", ()):
-                seals = {k: b for k, b in seals.items() if k[0] != vol}
         upto = [v for v in versions if at is None or v <= at]
-        return State(upto[-1] if upto else -1, base, records, seals)
+        state = State(upto[-1] if upto else -1, base, records, seals)
+        for record in records:
+            state.apply(record)
+        return state
 
     def namespace(self, at: int | None = None, state: State | None = None) -> DataFrame:
         """(name, size, avg_chunk_size, file_hash, chunks) of the names alive at a version."""
@@ -273,13 +288,24 @@ class Store:
         return self.files.path(self._read_record(state.base)["manifests"])
 
     def _manifests(self, paths: list[str] | None, version: int, order: int, rows: DataFrame | None = None) -> DataFrame:
-        if rows is None:
+        if rows is None and self.config.sealed:
+            packed = sealing.opened(self.spark.read.schema("plaintext_hash string, ciphertext binary").parquet(*paths), self.keys)
+            row = F.from_json(F.decode("data", "UTF-8"), schemas.NAMESPACE, {"mode": "FAILFAST"})
+            rows = packed.select(row.alias("row")).select("row.*")
+        elif rows is None:
             rows = self.spark.read.schema(schemas.NAMESPACE).parquet(*paths)
         else:
             empty = self.spark.createDataFrame([], schemas.NAMESPACE).drop("name").schema
             rows = rows.select("name", *[F.lit(None).cast(f.dataType).alias(f.name) for f in empty.fields])
         return rows.withColumns({"version": F.lit(version).cast("long"), "ord": F.lit(order)})
 
+    def _write_manifests(self, rows: DataFrame, at: str) -> None:
+        """Manifests as Parquet; in a sealed store each row is sealed, so that names and hashes can't be read."""
+        if self.config.sealed:
+            body = F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).cast("binary")
+            rows = sealing.sealed(rows.select(body.alias("data")), self.keys, self.config.zstd_level).select("plaintext_hash", "ciphertext")
+        rows.write.parquet(self.files.path(at))
+
     def refs(self, at: int | None = None, state: State | None = None) -> DataFrame:
         """(name, idx, id, plaintext_hash, len, clen, vol, seg) of every live file."""
         rows = self.namespace(at, state).select("name", F.posexplode("chunks").alias("idx", "c"))
@@ -294,14 +320,19 @@ class Store:
         rows = [(r["version"], r["ts"], r["kind"]) for r in map(self._read_record, reversed(self._versions()))]
         return self.spark.createDataFrame(rows, "version long, ts long, kind string")
 
-    def chunk_store(self, segments: Iterable[tuple[str, str]]) -> DataFrame:
-        """(vol, seg, chunk_id, plaintext_hash, len, clen, ciphertext) of the given segments."""
-        wanted = sorted(set(segments))
-        paths = [self.files.path(f"volumes/{v}/seg={s}") for v, s in wanted if self.files.exists(f"volumes/{v}/seg={s}")]
+    def chunk_store(self, volumes: Iterable[str] | None = None) -> DataFrame:
+        """(vol, seg, chunk_id, plaintext_hash, len, clen, ciphertext) of the given volumes (all); seg is a partition, so joins on it prune.
+
+        Segments that nothing refers to are there too, and whatever is deleted meanwhile is missing.
+        """
+        wanted = [v.id for v in self.config.volumes] if volumes is None else sorted(set(volumes))
+        for v in wanted:
+            self.files.make(f"volumes/{v}")
         kind = f"vol string, seg string, {schemas.SEGMENT}"
-        if not paths:
-            return self.spark.createDataFrame([], kind)
-        return self.spark.read.schema(kind).parquet(*paths)
+        reader = self.spark.read.schema(kind).option("ignoreMissingFiles", "true")
+        # A folder of its own for each volume: several roots of partitions can't be read as one.
+        each = [reader.parquet(self.files.path(f"volumes/{v}")) for v in wanted]
+        return reduce(DataFrame.unionByName, each).select("vol", "seg", "chunk_id", "plaintext_hash", "len", "clen", "ciphertext")
 
     # Writing
 
@@ -324,12 +355,17 @@ class Store:
     def _checkpoint(self, state: State, record: dict, version: int) -> dict:
         """The record folded into a full snapshot of the namespace and the segment index."""
         after = State(version, state.base, [*state.records, record | {"version": version}], dict(state.seals))
-        for s in record.get("seals", ()):
-            after.seals[s["vol"], s["seg"]] = s["bytes"]
+        after.apply(record)
         at = f"manifests/checkpoint-{version:020d}-{secrets.token_hex(8)}"
-        self.namespace(state=after).write.parquet(self.files.path(at))
+        self._write_manifests(self.namespace(state=after), at)
         index = [{"vol": v, "seg": s, "bytes": b} for (v, s), b in sorted(after.seals.items())]
-        return {"kind": "checkpoint", "ts": record["ts"], "manifests": at, "seg_index": index, "token": record.get("token")}
+        last = self._last_compaction(state)
+        return {"kind": "checkpoint", "ts": record["ts"], "manifests": at, "seg_index": index, "token": record.get("token"), "compacted": last}
+
+    def _last_compaction(self, state: State) -> int | None:
+        """When the last compaction was: in a record since the checkpoint, or as the checkpoint says."""
+        times = [r["ts"] for r in state.records if r["kind"] == "compact"]
+        return times[-1] if times else self._read_record(state.base).get("compacted") if state.base is not None else None
 
     def spare(self) -> str | None:
         """The last declared of three volumes or more is kept free for compaction."""
@@ -362,8 +398,7 @@ class Store:
 
     def _sealed(self, files: DataFrame) -> DataFrame:
         if self.config.sealed:
-            chunks = chunking.cdc_chunks(files, self.config.avg_size, self.keys.gear_seed, hashed=False)
-            return sealing.sealed(chunks, self.keys, self.config.zstd_level)
+            return sealing.sealed_files(files, self.keys, self.config.avg_size, self.keys.gear_seed, self.config.zstd_level)
         chunks = chunking.cdc_chunks(files, self.config.avg_size, 0)
         return chunks.withColumns({"plaintext_hash": F.col("chunk_id"), "clen": F.col("len")}).withColumnRenamed("data", "ciphertext")
 
@@ -382,8 +417,8 @@ class Store:
         """
         if token is not None and self.has_token(token):
             return PutStats(False, 0, 0, 0, 0, None, self.tip())
-        seg = secrets.token_hex(16)
-        staged_at = self.files.path(f"staging/{seg}")
+        work = secrets.token_hex(16)
+        staged_at = self.files.path(f"staging/{work}")
         files = files.select("name", F.coalesce("content", F.lit(b"")).alias("content"))
         try:
             self._sealed(files).select("name", "idx", "len", "chunk_id", "plaintext_hash", "clen", "ciphertext").write.parquet(f"{staged_at}/chunks")
@@ -394,15 +429,15 @@ class Store:
             if names != n:
                 raise StoreError("a batch may put each name once, and names can't be null")
             for _ in range(RETRIES):
-                done = self._put_once(staged, heads, seg, token, size)
+                done = self._put_once(staged, heads, secrets.token_hex(16), token, size)
                 if done is not None:
                     return done
-            raise StoreError("gave up: volumes kept being retired under this put")
+            raise StoreError("gave up: what this put refers to kept being retired or swept")
         finally:
-            self.files.delete(f"staging/{seg}")
+            self.files.delete(f"staging/{work}")
 
     def _put_once(self, staged: DataFrame, heads: DataFrame, seg: str, token: str | None, size: int) -> PutStats | None:
-        """One attempt against one state; None if a volume it refers to was retired before the commit."""
+        """One attempt against one state; None if a segment it refers to was retired or swept before the commit."""
         state = self.state()
         now = self.namespace(state=state)
         known = self.refs(state=state).groupBy("id").agg(F.min(F.struct("vol", "seg")).alias("at"))
@@ -433,20 +468,19 @@ class Store:
         if vol:
             body = staged.join(fresh.select("chunk_id"), "chunk_id", "left_semi").dropDuplicates(["chunk_id"])
             self._pushed(vol, lambda: self._write_segment(body, vol, seg))
-        changed.write.parquet(self.files.path(at))
+        self._write_manifests(changed, at)
         self.hook("after-segment")
-        if self.spark.read.schema(schemas.NAMESPACE).parquet(self.files.path(at)).isEmpty():
+        if self._manifests([self.files.path(at)], 0, 0).isEmpty():
             self.files.delete(at)
             return PutStats(False, total, new, new_bytes, size, None, state.version)
         seals = [{"vol": vol, "seg": seg, "bytes": new_bytes}] if vol else []
-        used = {r["vol"] for r in self.spark.read.parquet(self.files.path(at)).select(F.explode("chunks.vol").alias("vol")).distinct().collect()}
+        used = self._manifests([self.files.path(at)], 0, 0).select(F.explode("chunks").alias("c")).select("c.vol", "c.seg")
         retired = False
 
         def build(current: State) -> dict | None:
             nonlocal retired
-            gone = {v for r in current.records if r["version"] > state.version for v in r.get("retired", ())}
-            unseen = current.base is not None and current.base > state.version
-            retired = bool(gone & used) or unseen
+            gone = current.gone(state.version)
+            retired = gone is None or bool(any(gone)) and not used.where(F.col("vol").isin(list(gone[0])) | self._among(gone[1])).isEmpty()
             if retired:
                 return None
             return {"kind": "delta", "ts": int(self.clock()), "manifests": at, "seals": seals, "token": token}
@@ -458,9 +492,16 @@ class Store:
             self.files.create(f"tokens/{token}", b"")
         return PutStats(True, total, new, new_bytes, size, vol, version)
 
+    @staticmethod
+    def _among(segments: set[tuple[str, str]]) -> Column:
+        """Whether (vol, seg) is one of the given segments."""
+        return F.concat_ws("/", "vol", "seg").isin([f"{v}/{s}" for v, s in sorted(segments)])
+
     def _write_segment(self, rows: DataFrame, vol: str, seg: str) -> None:
         """One immutable segment, ordered by chunk id, with a bloom filter on it; written again whole if an attempt was cut short."""
-        out = rows.select(F.lit(vol).alias("vol"), F.lit(seg).alias("seg"), "chunk_id", "plaintext_hash", "len", "clen", "ciphertext")
+        # A plaintext's hash would tell who has it; in a sealed store only manifests hold it.
+        plain = F.lit(None).cast("string") if self.config.sealed else F.col("plaintext_hash")
+        out = rows.select(F.lit(vol).alias("vol"), F.lit(seg).alias("seg"), "chunk_id", plain.alias("plaintext_hash"), "len", "clen", "ciphertext")
         writer = out.repartitionByRange(max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions"))), "chunk_id").sortWithinPartitions("chunk_id")
         writer.write.mode("overwrite").option("parquet.bloom.filter.enabled#chunk_id", "true").parquet(self.files.path(f"volumes/{vol}/seg={seg}"))
 
@@ -490,8 +531,7 @@ class Store:
         refs = self.refs(at)
         if names is not None:
             refs = refs.where(F.col("name").isin(list(names)))
-        segments = [(r["vol"], r["seg"]) for r in refs.select("vol", "seg").distinct().collect()]
-        stored = self.chunk_store(segments).select("vol", "seg", F.col("chunk_id").alias("id"), "ciphertext")
+        stored = self.chunk_store().select("vol", "seg", F.col("chunk_id").alias("id"), "ciphertext")
         got = refs.join(stored, ["vol", "seg", "id"], "left")
         missing = F.raise_error(F.concat(F.lit("a chunk is missing: "), F.col("id")))
         wrong = F.raise_error(F.concat(F.lit("a chunk doesn't have its id: "), F.col("id")))
@@ -544,8 +584,7 @@ class Store:
         decides about a volume. State is read anew for each volume.
         """
         gates = gates or Gates.from_env()
-        log = self.log()
-        last = log.where("kind = 'compact'").agg(F.max("ts")).first()[0]
+        last = self._last_compaction(self.state())
         stats = {r["id"]: r for r in self.stats().collect()}
         pressed = any(r["utilization"] >= gates.pressure for r in stats.values() if not r["spare"])
         rested = last is None or self.clock() - last >= gates.min_interval
@@ -577,20 +616,26 @@ class Store:
         seals, seg = [], None
         if count:
             seg = compaction.segment_ids(refs).first()["seg"]
-            segments = [(r["vol"], r["seg"]) for r in live.select("vol", "seg").distinct().collect()]
             if not self.files.exists(f"volumes/{dest}/seg={seg}/_SUCCESS"):
-                rows = self.chunk_store(segments).drop("vol", "seg").join(live.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi")
+                wanted = live.select("seg", F.col("id").alias("chunk_id"))
+                rows = self.chunk_store([vol]).join(wanted, ["seg", "chunk_id"], "left_semi").drop("vol", "seg")
                 rows = rows.dropDuplicates(["chunk_id"])
                 if rows.count() != count:
                     raise StoreError(f"{vol} lacks chunks that are referred to")
                 self._pushed(dest, lambda: self._write_segment(rows, dest, seg))
             seals = [{"vol": dest, "seg": seg, "bytes": size}]
         self.hook("compact-after-rewrite")
-        moved = self.chunk_store([(dest, seg)]).select(F.lit(vol).alias("vol"), F.col("chunk_id").alias("id")) if seg else None
-        aborted = False
+        moved = self.chunk_store([dest]).where(F.col("seg") == seg).select(F.lit(vol).alias("vol"), F.col("chunk_id").alias("id")) if seg else None
+        aborted, emptied = False, []
 
         def build(current: State) -> dict | None:
-            nonlocal aborted
+            nonlocal aborted, emptied
+            gone = current.gone(state.version)
+            # What is written to the volume after the record retires it is another put's.
+            emptied = [n for n, folder, _ in self.files.listed(f"volumes/{vol}") if folder]
+            if gone is None or dest in gone[0] or (dest, seg) in gone[1]:
+                aborted = True
+                return None
             touching = self.refs(state=current).where(F.col("vol") == vol).select("vol", "id").distinct()
             left = touching.join(moved, ["vol", "id"], "left_anti") if moved is not None else touching
             if not left.isEmpty():
@@ -599,7 +644,7 @@ class Store:
             record = {"kind": "compact", "ts": int(self.clock()), "retired": [vol], "seals": seals}
             if seg:
                 at = f"manifests/compact-{seg}-{secrets.token_hex(4)}"
-                compaction.repointed(self.namespace(state=current), vol, dest, seg).write.parquet(self.files.path(at))
+                self._write_manifests(compaction.repointed(self.namespace(state=current), vol, dest, seg), at)
                 record["manifests"] = at
             return record
 
@@ -608,22 +653,35 @@ class Store:
             return None
         before = state.used().get(vol, 0)
         self.hook("compact-before-delete")
-        self.files.delete(f"volumes/{vol}")
-        self.files.make(f"volumes/{vol}")
+        for name in emptied:
+            self.files.delete(f"volumes/{vol}/{name}")
         return {"volume": vol, "dest_volume": dest, "bytes_before": before, "bytes_after": 0, "chunks_moved": count}
 
     def _sweep(self, window: int) -> int:
-        """Delete segments that nothing refers to and that are older than the window (a put may still be writing younger ones)."""
+        """Delete segments that nothing refers to and that are older than the window (a put may still be writing younger ones).
+
+        A record names them first: a put that refers to one of them and commits later sees
+        it and starts again, one that commits before is seen when the record is made.
+        """
         rows = []
         for v in self.config.volumes:
             rows += [(v.id, n[4:], ts) for n, folder, ts in self.files.listed(f"volumes/{v.id}") if folder and n.startswith("seg=")]
         if not rows:
             return 0
         segments = self.spark.createDataFrame(rows, "vol string, seg string, ts long")
-        lost = compaction.orphans(segments, self.refs(), int(self.clock()), window).collect()
-        for r in lost:
-            self.files.delete(f"volumes/{r['vol']}/seg={r['seg']}")
-        return len(lost)
+        swept: list[list[str]] = []
+
+        def build(current: State) -> dict | None:
+            nonlocal swept
+            lost = compaction.orphans(segments, self.refs(state=current), int(self.clock()), window)
+            swept = sorted([r["vol"], r["seg"]] for r in lost.collect())
+            return {"kind": "delta", "ts": int(self.clock()), "swept": swept} if swept else None
+
+        self._commit(build)
+        self.hook("before-sweep")
+        for vol, seg in swept:
+            self.files.delete(f"volumes/{vol}/seg={seg}")
+        return len(swept)
 
     def mirror(self, index: str, volumes: dict[str, str]) -> int:
         """Copy what the targets lack: every volume's segments first, manifests next, log records last and in order.
@@ -655,5 +713,5 @@ class Store:
 
     def segment_listing(self) -> DataFrame:
         """(vol, seg, path, bytes) of every stored chunk, without reading any ciphertext."""
-        rows = self.chunk_store(self.state().seals)
+        rows = self.chunk_store().join(self.seg_index().select("vol", "seg"), ["vol", "seg"], "left_semi")
         return rows.select("vol", "seg", fanout_path(F.col("chunk_id")).alias("path"), F.col("clen").alias("bytes"))

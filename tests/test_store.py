@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import threading
 
 import numpy as np
@@ -93,7 +94,7 @@ def test_refusals(spark, tmp_path):
 def test_corruption_is_loud(spark, tmp_path):
     s = make(spark, tmp_path / "s", sealed=False, avg=4 * KIB)
     s.put("a", noise(20 * KIB))
-    rows = s.chunk_store(s.state().seals).cache()
+    rows = s.chunk_store()
     (vol, seg), = s.state().seals
     bad = rows.selectExpr("vol", "seg", "chunk_id", "plaintext_hash", "len", "clen", "concat(substring(ciphertext, 1, len - 1), X'00') AS ciphertext")
     bad.write.mode("overwrite").parquet(str(tmp_path / "bad"))
@@ -150,10 +151,10 @@ def test_snapshots_and_checkpoints(spark, tmp_path):
     assert [r["name"] for r in s.ls(at=1).collect()] == ["f0", "f1"]
     assert [r["name"] for r in s.ls().collect()] == ["f0", "f2", "f3"]
     datasource.register(spark)
-    for at in (None, *range(8)):
-        read = spark.read.format("blobstore")
+    for at, share in ((None, 1 << 20), (None, 1000), (1, 1000), (6, 1 << 20), (7, 500)):
+        read = spark.read.format("blobstore").option("share", share)
         read = read if at is None else read.option("versionAsOf", at)
-        got = [tuple(r)[:3] for r in read.load(str(tmp_path / "s")).collect()]
+        got = sorted(tuple(r)[:3] for r in read.load(str(tmp_path / "s")).collect())
         assert got == [tuple(r) for r in s.ls(at).collect()]
 
 
@@ -204,26 +205,106 @@ def test_a_compaction_that_dies_loses_nothing(spark, tmp_path, point):
     assert s.get("f3") == noise(100 * KIB, 13) and s.put("f5", noise(1000, 9)).committed
 
 
-def test_a_put_over_a_retired_volume_starts_again(spark, tmp_path):
-    filled(spark, tmp_path / "s")
-    body = noise(100 * KIB, 13)
+def interrupted(spark, path, point, action):
+    """A store whose first put does something else at a point of its course."""
     once = []
 
     def hook(at):
-        if at == "before-cas" and not once:
+        if at == point and not once:
             once.append(at)
-            Store(spark, str(tmp_path / "s"), KEYS).compact(Gates(), force=True)
+            action(Store(spark, str(path), KEYS))
+
+    return Store(spark, str(path), KEYS, hook=hook), once
 
-    def segment_hook(at):
-        if at == "after-segment" and not once:
-            once.append(at)
-            Store(spark, str(tmp_path / "s"), KEYS).compact(Gates(), force=True)
 
-    s = Store(spark, str(tmp_path / "s"), KEYS, hook=segment_hook)
+@pytest.mark.parametrize("point", ["before-segment", "after-segment", "before-cas"])
+def test_a_put_over_a_retired_volume_starts_again(spark, tmp_path, point):
+    filled(spark, tmp_path / "s")
+    body = noise(100 * KIB, 13)
+    s, once = interrupted(spark, tmp_path / "s", point, lambda x: x.compact(Gates(), force=True))
     assert s.put("copy", body).committed and once
     assert s.get("copy") == body and s.get("f3") == body
 
 
+@pytest.mark.parametrize("point", ["before-segment", "after-segment", "before-cas"])
+def test_a_put_over_a_swept_segment_starts_again(spark, tmp_path, point):
+    s = make(spark, tmp_path / "s")
+    body = noise(200 * KIB, 7)
+    s.put("old", body)
+
+    def sweep(x):
+        x.remove("old")
+        assert x.compact(Gates(orphan_window=0))["orphans_swept"] >= 1
+
+    s, once = interrupted(spark, tmp_path / "s", point, sweep)
+    done = s.put("late", body)
+    assert done.committed and once and done.new_chunks == done.total_chunks and s.get("late") == body
+    fresh, once = interrupted(spark, tmp_path / "s", point, lambda x: x.compact(Gates(orphan_window=0)))
+    assert fresh.put("new", noise(90 * KIB, 8)).committed and once
+    assert fresh.get("new") == noise(90 * KIB, 8) and fresh.get("late") == body
+
+
+def test_a_sweep_waits_for_its_record(spark, tmp_path):
+    s = make(spark, tmp_path / "s")
+    body = noise(100 * KIB, 7)
+    s.put("old", body)
+    s.remove("old")
+    late, once = interrupted(spark, tmp_path / "s", "before-sweep", lambda x: x.put("again", body))
+    assert late.compact(Gates(orphan_window=0))["orphans_swept"] == 1 and once
+    assert s.get("again") == body
+    assert {r["id"]: r["dead"] for r in s.stats().collect()} == {"v0": 0}
+
+
+def test_a_put_after_a_volume_is_retired_survives_its_emptying(spark, tmp_path):
+    filled(spark, tmp_path / "s")
+    body = noise(80 * KIB, 21)
+    s, once = interrupted(spark, tmp_path / "s", "compact-before-delete", lambda x: x.put("late", body))
+    s.compact(Gates(), force=True)
+    assert once and s.get("late") == body and s.get("f3") == noise(100 * KIB, 13)
+
+
+def test_the_interval_blocks_a_second_compaction(spark, tmp_path):
+    now = [1_000_000]
+    s = filled(spark, tmp_path / "s")
+    s.clock = lambda: now[0]
+    gates = Gates(pressure=0.3, min_interval=100)
+    assert len(s.compact(gates)["compacted"]) == 1
+    for k in range(4):
+        s.put(f"g{k}", noise(100 * KIB, 60 + k))
+    s.remove("g0", "g1", "g2")
+    assert s.compact(gates)["compacted"] == []
+    assert len(s.compact(gates, force=True)["compacted"]) == 1
+    now[0] += 100
+    assert [r["kind"] for r in s.log().collect()].count("compact") == 2
+
+
+def test_a_sealed_store_shows_nothing(spark, tmp_path):
+    s = make(spark, tmp_path / "s", avg=4 * KIB, checkpoint_interval=3)
+    needle = b"A-NEEDLE-THAT-IS-EASY-TO-FIND"
+    for k in range(4):
+        s.put(f"secrets-{k}.txt", needle * 2000 + bytes([k]))
+    hashes = [r["plaintext_hash"] for r in s.refs().collect()]
+    found = [p for p in (tmp_path / "s").rglob("*") if p.is_file()]
+    assert len(found) > 5
+    for p in found:
+        body = p.read_bytes()
+        assert needle not in body and b"secrets" not in body and not any(h.encode() in body for h in hashes), p
+    assert s.get("secrets-2.txt") == needle * 2000 + b"\x02"
+
+
+def test_a_shared_chunk_lives_until_its_last_file_goes(spark, tmp_path):
+    s = make(spark, tmp_path / "s")
+    s.put("a", noise(200 * KIB, 55))
+    before = s.stats().first()
+    assert s.put("b", noise(200 * KIB, 55)).new_chunks == 0
+    s.remove("a")
+    after = s.stats().first()
+    assert (after["total"], after["live"], after["dead"]) == (before["total"], before["live"], 0)
+    s.remove("b")
+    last = s.stats().first()
+    assert last["live"] == 0 and last["dead"] == last["total"] == before["total"]
+
+
 def test_orphans_wait_for_the_window(spark, tmp_path):
     s = make(spark, tmp_path / "s")
     with pytest.raises(Stop):
@@ -261,6 +342,9 @@ def test_streams(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for k in range(3):
         (tmp_path / "in" / f"f{k}.bin").write_bytes(noise(9000, k))
+    twice = spark.createDataFrame([("x", bytearray(b"old"), 1), ("x", bytearray(b"new"), 2), ("y", bytearray(b"b"), 1), ("y", bytearray(b"a"), 1)], "name string, content binary, modified long")
+    order = ingest.last_of_each(twice).orderBy("name").collect()
+    assert [bytes(r["content"]) for r in order] == [b"new", max(b"a", b"b", key=lambda b: hashlib.sha256(b).hexdigest())]
     files = ingest.folder(spark, str(tmp_path / "in"), per_trigger=2)
     ingest.ingest(files, s, str(tmp_path / "check"), "load", once=True).awaitTermination(120)
     assert {n: s.get(f"f{n}.bin") for n in range(3)} == {n: noise(9000, n) for n in range(3)} and s.tip() == 1
