@@ -24,8 +24,10 @@ from dataclasses import asdict, dataclass, field
 from functools import reduce
 from typing import BinaryIO
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .files import Files
 from .functions import chunking, sealing
@@ -266,38 +268,39 @@ class Store:
     def namespace(self, at: int | None = None, state: State | None = None) -> DataFrame:
         """(name, size, avg_chunk_size, file_hash, chunks) of the names alive at a version."""
         state = state or self.state(at)
-        parts = []
+        written = {r["manifests"]: r["version"] for r in state.records if r.get("manifests")}
         if state.base is not None:
-            parts.append(self._manifests([self._checkpoint_path(state)], state.base, 0))
-        for r in state.records:
-            if r.get("manifests"):
-                parts.append(self._manifests([self.files.path(r["manifests"])], r["version"], 0))
-            if r.get("remove"):
-                gone = self.spark.createDataFrame([(n,) for n in r["remove"]], "name string")
-                parts.append(self._manifests(None, r["version"], 1, gone))
-        if not parts:
-            return self.spark.createDataFrame([], schemas.NAMESPACE)
-        every = parts[0]
-        for p in parts[1:]:
-            every = every.unionByName(p)
+            written[self._read_record(state.base)["manifests"]] = state.base
+        removed = [(n, r["version"]) for r in state.records for n in r.get("remove") or ()]
+        every = self._manifests(written)
+        if removed:
+            gone = self._frame(removed, "name string, version long")
+            empty = self.spark.createDataFrame([], schemas.NAMESPACE).drop("name").schema
+            gone = gone.select("name", *[F.lit(None).cast(f.dataType).alias(f.name) for f in empty.fields], "version", F.lit(1).alias("ord"))
+            every = every.unionByName(gone)
         names = ["size", "avg_chunk_size", "file_hash", "chunks"]
         last = F.max_by(F.struct(*names, "ord"), F.struct("version", "ord")).alias("last")
         return every.groupBy("name").agg(last).where("last.ord = 0").select("name", *[F.col(f"last.{n}").alias(n) for n in names])
 
-    def _checkpoint_path(self, state: State) -> str:
-        return self.files.path(self._read_record(state.base)["manifests"])
-
-    def _manifests(self, paths: list[str] | None, version: int, order: int, rows: DataFrame | None = None) -> DataFrame:
-        if rows is None and self.config.sealed:
-            packed = sealing.opened(self.spark.read.schema("plaintext_hash string, ciphertext binary").parquet(*paths), self.keys)
+    def _frame(self, rows: list[tuple], schema: str) -> DataFrame:
+        """A few rows that the driver knows, as a local relation."""
+        kinds = self.spark.createDataFrame([], schema).schema
+        columns = [pa.array([r[i] for r in rows], to_arrow_type(f.dataType)) for i, f in enumerate(kinds.fields)]
+        return self.spark.createDataFrame(pa.Table.from_arrays(columns, names=kinds.names), kinds)
+
+    def _manifests(self, written: dict[str, int]) -> DataFrame:
+        """(name, size, avg_chunk_size, file_hash, chunks, version, ord 0) of manifests with the versions that wrote them, in one scan."""
+        if not written:
+            return self.spark.createDataFrame([], f"{schemas.NAMESPACE}, version long, ord int")
+        folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+        versions = F.create_map(*[F.lit(x) for at, v in written.items() for x in (at.rsplit("/", 1)[1], v)])
+        version = F.element_at(versions, folder).cast("long").alias("version")
+        kind = "plaintext_hash string, ciphertext binary" if self.config.sealed else schemas.NAMESPACE
+        rows = self.spark.read.schema(kind).parquet(*map(self.files.path, written)).select("*", version)
+        if self.config.sealed:
             row = F.from_json(F.decode("data", "UTF-8"), schemas.NAMESPACE, {"mode": "FAILFAST"})
-            rows = packed.select(row.alias("row")).select("row.*")
-        elif rows is None:
-            rows = self.spark.read.schema(schemas.NAMESPACE).parquet(*paths)
-        else:
-            empty = self.spark.createDataFrame([], schemas.NAMESPACE).drop("name").schema
-            rows = rows.select("name", *[F.lit(None).cast(f.dataType).alias(f.name) for f in empty.fields])
-        return rows.withColumns({"version": F.lit(version).cast("long"), "ord": F.lit(order)})
+            rows = sealing.opened(rows, self.keys).select(row.alias("row"), "version").select("row.*", "version")
+        return rows.withColumn("ord", F.lit(0))
 
     def _write_manifests(self, rows: DataFrame, at: str) -> None:
         """Manifests as Parquet; in a sealed store each row is sealed, so that names and hashes can't be read."""
@@ -313,12 +316,12 @@ class Store:
 
     def seg_index(self, at: int | None = None) -> DataFrame:
         rows = [(v, s, b) for (v, s), b in sorted(self.state(at).seals.items())]
-        return self.spark.createDataFrame(rows, schemas.SEG_INDEX)
+        return self._frame(rows, schemas.SEG_INDEX)
 
     def log(self) -> DataFrame:
         """(version, ts, kind) of all records, newest first."""
         rows = [(r["version"], r["ts"], r["kind"]) for r in map(self._read_record, reversed(self._versions()))]
-        return self.spark.createDataFrame(rows, "version long, ts long, kind string")
+        return self._frame(rows, "version long, ts long, kind string")
 
     def chunk_store(self, volumes: Iterable[str] | None = None) -> DataFrame:
         """(vol, seg, chunk_id, plaintext_hash, len, clen, ciphertext) of the given volumes (all); seg is a partition, so joins on it prune.
@@ -406,7 +409,7 @@ class Store:
         return self.files.exists(f"tokens/{token}") or any(self._read_record(v).get("token") == token for v in reversed(self._versions()[-2 * self.config.checkpoint_interval :]))
 
     def put(self, name: str, body: bytes) -> PutStats:
-        return self.put_batch(self.spark.createDataFrame([(name, bytearray(body))], schemas.FILES))
+        return self.put_batch(self._frame([(name, body)], schemas.FILES))
 
     def put_batch(self, files: DataFrame, token: str | None = None) -> PutStats:
         """Put files(name, content), each name once, as one transaction and one segment.
@@ -439,8 +442,15 @@ class Store:
     def _put_once(self, staged: DataFrame, heads: DataFrame, seg: str, token: str | None, size: int) -> PutStats | None:
         """One attempt against one state; None if a segment it refers to was retired or swept before the commit."""
         state = self.state()
-        now = self.namespace(state=state)
-        known = self.refs(state=state).groupBy("id").agg(F.min(F.struct("vol", "seg")).alias("at"))
+        now = self.namespace(state=state).persist()
+        try:
+            return self._attempt(state, now, staged, heads, seg, token, size)
+        finally:
+            now.unpersist()
+
+    def _attempt(self, state: State, now: DataFrame, staged: DataFrame, heads: DataFrame, seg: str, token: str | None, size: int) -> PutStats | None:
+        refs = now.select(F.explode("chunks").alias("c")).select("c.*")
+        known = refs.groupBy("id").agg(F.min(F.struct("vol", "seg")).alias("at"))
         ids = staged.select("chunk_id", "len", "clen").dropDuplicates(["chunk_id"])
         fresh = ids.join(known, ids["chunk_id"] == known["id"], "left_anti")
         new, new_bytes = fresh.agg(F.count(F.lit(1)), F.coalesce(F.sum("clen"), F.lit(0))).first()
@@ -470,11 +480,11 @@ class Store:
             self._pushed(vol, lambda: self._write_segment(body, vol, seg))
         self._write_manifests(changed, at)
         self.hook("after-segment")
-        if self._manifests([self.files.path(at)], 0, 0).isEmpty():
+        if self._manifests({at: 0}).isEmpty():
             self.files.delete(at)
             return PutStats(False, total, new, new_bytes, size, None, state.version)
         seals = [{"vol": vol, "seg": seg, "bytes": new_bytes}] if vol else []
-        used = self._manifests([self.files.path(at)], 0, 0).select(F.explode("chunks").alias("c")).select("c.vol", "c.seg")
+        used = self._manifests({at: 0}).select(F.explode("chunks").alias("c")).select("c.vol", "c.seg")
         retired = False
 
         def build(current: State) -> dict | None:
@@ -571,7 +581,7 @@ class Store:
 
     def volumes(self) -> DataFrame:
         rows = [(k, v.id, v.threshold, v.id == self.spare()) for k, v in enumerate(self.config.volumes)]
-        return self.spark.createDataFrame(rows, "ord long, id string, threshold long, spare boolean")
+        return self._frame(rows, "ord long, id string, threshold long, spare boolean")
 
     def stats(self, at: int | None = None) -> DataFrame:
         """Per volume its total, live and dead bytes and ratios, from metadata alone."""
@@ -668,7 +678,7 @@ class Store:
             rows += [(v.id, n[4:], ts) for n, folder, ts in self.files.listed(f"volumes/{v.id}") if folder and n.startswith("seg=")]
         if not rows:
             return 0
-        segments = self.spark.createDataFrame(rows, "vol string, seg string, ts long")
+        segments = self._frame(rows, "vol string, seg string, ts long")
         swept: list[list[str]] = []
 
         def build(current: State) -> dict | None:
