@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-CHECKPOINT_INTERVAL = 128
+from ..sources.tables import numbered
 
 
 def namespace_at(log: DataFrame, version: int | None = None) -> DataFrame:
@@ -37,13 +37,15 @@ def validity(log: DataFrame) -> DataFrame:
 
 
 def checkpoints(log: DataFrame) -> DataFrame:
-    """(version, tail_len): every checkpoint and how many records follow it before the next one or the tip."""
+    """(version, tail_len): every checkpoint and how many records follow it before the next one or the tip.
+
+    Checkpoints are numbered by ranges, and each meets the next by number, so no task sees all of them.
+    """
     versions = log.groupBy("version").agg(F.max((F.col("kind") == "checkpoint").cast("int")).alias("is_checkpoint"))
-    marks = versions.where("is_checkpoint = 1").select("version")
-    tip = versions.agg(F.max("version").alias("tip"))
-    following = F.lead("version").over(Window.orderBy("version"))
-    ends = marks.withColumn("next", following).crossJoin(F.broadcast(tip))
-    return ends.select("version", F.coalesce(F.col("next") - F.col("version") - 1, F.col("tip") - F.col("version")).alias("tail_len"))
+    marks = numbered(versions.where("is_checkpoint = 1").select("version"), ["version"], "_n")
+    tip = versions.agg(F.max("version")).first()[0]
+    following = marks.select((F.col("_n") - 1).alias("_n"), F.col("version").alias("next"))
+    return marks.join(following, "_n", "left").select("version", (F.coalesce(F.col("next") - 1, F.lit(tip)) - F.col("version")).alias("tail_len"))
 
 
 def kinds(log: DataFrame) -> DataFrame:

@@ -15,3 +15,6 @@ RECORD = (
 )
 NAMESPACE = f"name string, size bigint, avg_chunk_size bigint, file_hash string, chunks array<{CHUNK_REF}>"
 SEG_INDEX = "vol string, seg string, bytes bigint"
+
+#: A checkpoint every so many records.
+CHECKPOINT_INTERVAL = 128

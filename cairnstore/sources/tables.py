@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.history import CHECKPOINT_INTERVAL
+from .schemas import CHECKPOINT_INTERVAL
 
 SLICE = 1 << 10
 #: A compaction every so many versions, half-way between; it never falls on a checkpoint's version.

@@ -38,7 +38,6 @@ from .sources import schemas
 RETRIES = 32
 #: Rate-limited writes are tried again so often, after this many seconds doubled each time and a little more.
 PUSH_RETRIES, PUSH_WAIT, PUSH_JITTER = 5, 0.5, 0.25
-CHECKPOINT_INTERVAL = 128
 DEFAULT_THRESHOLD = 4 << 30
 #: Where a test may stop the engine.
 HOOKS = (
@@ -100,7 +99,7 @@ class Gates:
 class Config:
     avg_size: int = chunking.DEFAULT_AVG
     zstd_level: int = sealing.ZSTD_LEVEL
-    checkpoint_interval: int = CHECKPOINT_INTERVAL
+    checkpoint_interval: int = schemas.CHECKPOINT_INTERVAL
     volumes: tuple[Volume, ...] = (Volume("v0"),)
     sealed: bool = True
     version: int = sealing.FORMAT_VERSION
@@ -189,6 +188,9 @@ class Store:
             raise ValueError("volumes need ids of their own")
         chunking.ChunkerParams.from_avg(config.avg_size)
         files = Files(spark, root)
+        full = [v.id for v in config.volumes if files.listed(f"volumes/{v.id}")]
+        if full and not files.exists("_store.json"):
+            raise StoreError(f"volume {full[0]!r} isn't empty: only an empty one is adopted")
         if not files.create("_store.json", config.to_json().encode()):
             raise StoreError(f"the store at {root} is already initialized")
         for v in config.volumes:

@@ -91,6 +91,14 @@ def test_refusals(spark, tmp_path):
         Volume.parse("=x")
 
 
+def test_only_empty_volumes_are_adopted(spark, tmp_path):
+    (tmp_path / "s" / "volumes" / "v0").mkdir(parents=True)
+    make(spark, tmp_path / "s")
+    (tmp_path / "t" / "volumes" / "v0" / "seg=other").mkdir(parents=True)
+    with pytest.raises(StoreError, match="empty"):
+        make(spark, tmp_path / "t")
+
+
 def test_corruption_is_loud(spark, tmp_path):
     s = make(spark, tmp_path / "s", sealed=False, avg=4 * KIB)
     s.put("a", noise(20 * KIB))
