@@ -1,4 +1,8 @@
-"""Chunking as a table function: SELECT f.name, c.* FROM files f, LATERAL cdc(f.content, 65536, 42) c."""
+"""Chunking as a table function: SELECT f.name, c.* FROM files f, LATERAL cdc(f.content, 65536, 42) c.
+
+Spark 4.1 takes no Arrow table function in a lateral join, so this one gets a row at a
+time, a whole file each; DataFrames are cut by chunking.cdc_chunks in Arrow batches.
+"""
 
 from __future__ import annotations
 

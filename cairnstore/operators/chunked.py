@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -52,15 +52,9 @@ def dedup_ratio(chunks: DataFrame) -> DataFrame:
     )
 
 
-def concatenated(data: Column, idx: Column) -> Column:
-    """An aggregate: the group's byte strings in order of idx."""
-    ordered = F.array_sort(F.collect_list(F.struct(idx.alias("i"), F.hex(data).alias("x"))))
-    return F.unhex(F.array_join(F.transform(ordered, lambda c: c["x"]), ""))
-
-
 def reassembled(files: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(name, content) of every file from its chunks (with data)."""
-    whole = chunks.groupBy("name").agg(concatenated(F.col("data"), F.col("idx")).alias("_content"))
+    """(name, content) of every file from its chunks (with data). A whole file is one value, of 2 GB at most."""
+    whole = chunks.groupBy("name").agg(F.expr("listagg(data, X'') WITHIN GROUP (ORDER BY idx)").alias("_content"))
     out = files.select("name").join(whole, "name", "left")
     return out.select("name", F.coalesce("_content", F.lit(b"")).alias("content"))
 
