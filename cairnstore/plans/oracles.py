@@ -149,6 +149,18 @@ def _rows(values: tuple[str, ...], name: str) -> str:
     return f"(VALUES {quoted}) t({name})"
 
 
+def _splitmix(seed: int) -> str:
+    """The low bits of 256 outputs of the splitmix64 generator, in DuckDB's 128-bit integers."""
+    word = "18446744073709551616::UHUGEINT"
+
+    def times(shift: int, factor: int) -> str:
+        return f"xor(z, z >> {shift}::UHUGEINT) * {factor}::UHUGEINT % {word}"
+
+    return f"""WITH a AS (SELECT i, ({seed}::UHUGEINT + (i + 1)::UHUGEINT * 11400714819323198485::UHUGEINT) % {word} AS z FROM range(256) t(i)),
+      b AS (SELECT i, {times(30, 0xBF58476D1CE4E5B9)} AS z FROM a), c AS (SELECT i, {times(27, 0x94D049BB133111EB)} AS z FROM b)
+      SELECT CAST(i AS BIGINT) AS i, CAST(xor(z, z >> 31::UHUGEINT) % {GEAR_LOW + 1}::UHUGEINT AS BIGINT) AS g FROM c"""
+
+
 _PATH = "substr(chunk_id, 1, 2) || '/' || substr(chunk_id, 3, 2) || '/' || chunk_id"
 _SIZE = r"regexp_extract(trim(s), '^\+?0*([0-9]{1,12})\s*([kKmM]?)$', %d)"
 _BYTES = f"CAST({_SIZE % 1} AS BIGINT) * CASE lower({_SIZE % 2}) WHEN 'k' THEN 1024 WHEN 'm' THEN 1048576 ELSE 1 END"
@@ -160,9 +172,7 @@ SQL: dict[str, str] = {
     "file_scan": f"WITH {FILES} SELECT name, CAST(len(h) // 2 AS BIGINT) AS size, sha256(unhex(h)) AS file_hash FROM docs",
     "file_hash": "SELECT 'page-' || lpad(CAST(page_id AS VARCHAR), 9, '0') AS name, sha256(coalesce(html, '')) AS file_hash FROM pages",
     "chunk_hash": f"WITH {_SLICES} SELECT name, idx, chunk_id FROM slices",
-    "gear_table": "SELECT CAST(i AS BIGINT) AS i, CAST(g AS BIGINT) AS g FROM (VALUES "
-    + ", ".join(f"({i}, {g & GEAR_LOW})" for i, g in enumerate(gear_table(SEED)))
-    + ") t(i, g)",
+    "gear_table": _splitmix(SEED),
     "cdc_chunks": _with_cdc("SELECT name, idx, len FROM cdc"),
     "chunk_offsets": _with_cdc('SELECT name, idx, pos AS "offset", len FROM cdc'),
     "put_stats": _with_cdc(
