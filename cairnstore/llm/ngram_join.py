@@ -4,12 +4,15 @@ Documents are sets of word k-grams. Documents of one set are one class from the
 start, so exact copies cost nothing later. A class is known by 128 bits; n-grams
 meet by one 64-bit fingerprint and are verified by another, independent one.
 
-1.  Signatures: each document's set size and class, and a fixed-size count sketch
-    of the corpus' n-grams, which gives one global order, rare n-grams first.
+1.  Signatures: each document's set size and class, and fixed-size count sketches of
+    the corpus' n-grams and words, which give one global order: n-grams that stand out
+    of their sketch last, the others by how rare their words are. So n-grams that
+    texts share by chance are beyond the prefixes, however large the corpus.
 2.  Prefixes: two sets as similar as asked share an n-gram within their prefixes in
     that order. Entries (n-gram, class, set size, place in the order) that are alone
-    at their n-gram are dropped. What one task sees too often is spread by class
-    and needs only a marker at its n-gram, so no n-gram gathers its rows in a task.
+    at their n-gram, or fit with none of the few others there, are dropped. What one
+    task sees too often is spread by class and needs only a marker at its n-gram, so
+    no n-gram gathers its rows in a task.
 3.  Leaders: the entries of an n-gram are paired with two of them, the same two in
     every n-gram that they share. That is all pairs of up to three classes, and one
     or two pairs for each entry of a crowd; copies of one text end in one component.
@@ -41,10 +44,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .spark_tools import broadcast_if_small, components, materialize, partitions, row_numbers
-from .wordhash import fresh_memory, mix, mix_other, release_memory, shingle_sets
+from .wordhash import fresh_memory, mix, mix_other, release_memory, shingle_sets, weighed_sets
 
 #: Counters of the order's sketch: 2 ** SKETCH_BITS, one byte each when broadcast.
 SKETCH_BITS = 20
+#: Counters of the words' sketch, as many bytes behind the n-grams'.
+WORD_BITS = 18
 _CHUNK = 1 << 12
 #: Prefix entries held by a task before it passes them on.
 HELD = 1 << 18
@@ -98,12 +103,16 @@ def signatures(documents: DataFrame, k: int) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh_memory()
-        sketch, seen, ids_type = np.zeros(1 << SKETCH_BITS, np.int64), set(), None
+        sketch, seen, ids_type = np.zeros((1 << SKETCH_BITS) + (1 << WORD_BITS), np.int64), set(), None
         shift = np.uint64(64 - SKETCH_BITS)
+
+        def see(words: np.ndarray) -> None:
+            sketch[1 << SKETCH_BITS :] += np.bincount((words >> np.uint64(64 - WORD_BITS)).astype(np.int64), minlength=1 << WORD_BITS)
+
         for batch in batches:
             n, high, low, parts = [], [], [], []
             ids_type = batch.column(0).type
-            for first, second in shingle_sets(batch.column(1), k):
+            for first, second in shingle_sets(batch.column(1), k, see):
                 n.append(len(first))
                 if not len(first):
                     for column in (high, low, parts):
@@ -134,7 +143,7 @@ def signatures(documents: DataFrame, k: int) -> DataFrame:
 
 
 def rarity(signed: DataFrame) -> np.ndarray:
-    """The sketch over all tasks as one byte for each counter, by eighths of a power of two."""
+    """The sketches over all tasks as one byte for each counter, by eighths of a power of two: the n-grams' above their median, the words' as they are."""
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
@@ -146,10 +155,14 @@ def rarity(signed: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(rank, pa.binary())], names=["chunk", "rank"])
 
     parts = signed.where("chunk is not null").select("chunk", "parts").repartition(16, "chunk").mapInArrow(total, "chunk int, rank binary")
-    out = np.zeros((1 << SKETCH_BITS) // _CHUNK * _CHUNK, np.uint8).reshape(-1, _CHUNK)
+    out = np.zeros((1 << SKETCH_BITS) + (1 << WORD_BITS), np.uint8).reshape(-1, _CHUNK)
     for row in parts.collect():
         out[row["chunk"]] = np.frombuffer(row["rank"], np.uint8)
-    return out.reshape(-1)
+    out = out.reshape(-1)
+    ngrams = out[: 1 << SKETCH_BITS]
+    usual = np.median(ngrams[ngrams > 0]) if ngrams.any() else 0
+    out[: 1 << SKETCH_BITS] = np.maximum(ngrams.astype(np.int64) - int(usual), 0)
+    return out
 
 
 def _entry_batch(columns: list[np.ndarray]) -> pa.RecordBatch:
@@ -176,31 +189,58 @@ def _spread(held: list[tuple[np.ndarray, tuple[int, int], int]]) -> pa.RecordBat
     return _entry_batch([np.concatenate(c) for c in columns])
 
 
-def _shared(columns: list[np.ndarray], done: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which of the sorted entries are at an n-gram that several classes have (not yet passed on), and where the last n-gram starts."""
-    deal, h, high, low, _, _, crowd = columns
+def _shared(columns: list[np.ndarray], done: np.ndarray, num: int, den: int, last: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the sorted entries go on: at a crowd's n-gram one of each class (not yet passed on), at others those that fit with another class there.
+
+    And which rows must be seen again with what follows: none if nothing does.
+    """
+    deal, h, high, low, n, at, crowd = columns
     new = np.concatenate([[True], (deal[1:] != deal[:-1]) | (h[1:] != h[:-1])])
     other = np.concatenate([[True], (high[1:] != high[:-1]) | (low[1:] != low[:-1]) | (crowd[1:] // 2 != crowd[:-1] // 2)]) | new
     lead = np.flatnonzero(new)
-    several = np.add.reduceat(other.astype(np.int64), lead) > 1
-    several |= np.maximum.reduceat(crowd, lead) > 0
-    several |= np.logical_or.reduceat(done, lead)
-    return np.repeat(several, np.diff(np.append(lead, len(h)))) & other & (crowd < 2) & ~done, lead[-1:]
+    many = np.add.reduceat(other.astype(np.int64), lead) > CROWD
+    many |= np.maximum.reduceat(crowd, lead) > 0
+    many |= np.logical_or.reduceat(done, lead)
+    crowded = np.repeat(many, np.diff(np.append(lead, len(h))))
+    out = crowded & other & (crowd < 2) & ~done
+    few = np.flatnonzero(other & ~crowded)
+    group = np.cumsum(new)[few]
+    for step in range(1, CROWD):
+        one = np.flatnonzero(group[step:] == group[:-step])
+        if not len(one):
+            break
+        x, y = few[one], few[one + step]
+        fit = np.minimum(n[x] - at[x], n[y] - at[y]) * (num + den) >= (n[x] + n[y]) * num
+        out[x[fit]] = out[y[fit]] = True
+    if last:
+        return out, np.zeros(0, np.int64)
+    if many[-1]:
+        return out, np.array([len(h) - 1])
+    out[lead[-1] :] = False
+    return out, lead[-1] + np.flatnonzero(other[lead[-1] :])
 
 
 def prefixes(documents: DataFrame, order: np.ndarray, k: int, num: int, den: int) -> DataFrame:
-    """(h, high, low, n, at): the prefix entries of classes at n-grams that several classes have in their prefixes."""
+    """(h, high, low, n, at): the prefix entries of classes at n-grams that several classes have in their prefixes and that may link some.
+
+    order: ranks of the n-grams' counters and, if they are there, behind them those of the words'.
+    """
     spark = documents.sparkSession
     ranks = spark.sparkContext.broadcast(order)
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh_memory()
-        rank, shift = ranks.value, np.uint64(64 - SKETCH_BITS)
+        rank, shift = ranks.value[: 1 << SKETCH_BITS], np.uint64(64 - SKETCH_BITS)
+        of_words = ranks.value[1 << SKETCH_BITS :]
+
+        def weight(words: np.ndarray) -> np.ndarray:
+            return of_words[(words >> np.uint64(64 - WORD_BITS)).astype(np.int64)].astype(np.int64) if len(of_words) else np.zeros(len(words), np.int64)
+
         held: list[tuple[np.ndarray, tuple[int, int], int]] = []
         seen: set[tuple[int, int]] = set()
         count = 0
         for batch in batches:
-            for first, second in shingle_sets(batch.column(0), k):
+            for first, second, common in weighed_sets(batch.column(0), k, weight):
                 n = len(first)
                 if not n:
                     continue
@@ -210,7 +250,8 @@ def prefixes(documents: DataFrame, order: np.ndarray, k: int, num: int, den: int
                 if len(seen) < HELD:
                     seen.add(cls)
                 probe = n + num * n // -den + 1
-                key = (rank[(first >> shift).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (first >> np.uint64(8))
+                common = np.minimum(common, 0xFFFF).astype(np.uint64) << np.uint64(40)
+                key = (rank[(first >> shift).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | common | (first >> np.uint64(24))
                 held.append((first[np.argsort(key, kind="stable")[:probe]], cls, n))
                 count += probe
                 if count >= HELD:
@@ -231,11 +272,13 @@ def prefixes(documents: DataFrame, order: np.ndarray, k: int, num: int, den: int
                 now = [np.concatenate(both) for both in zip(kept, now, strict=True)]
             if not len(now[0]):
                 continue
-            out, last = _shared(now, done)
+            out, again = _shared(now, done, num, den, False)
             yield _entry_batch([c[out] for c in now])
-            # Of the last n-gram one row is enough to go on with: whether it was passed on, and its class.
-            one = len(out) - 1 if (out | done)[last[0] :].any() or now[6][-1] == 2 else int(last[0])
-            kept, passed = [c[one : one + 1] for c in now], (out | done)[one : one + 1] | (now[6][one : one + 1] == 2)
+            kept = [c[again] for c in now]
+            # One row of a crowd that was passed on is enough to know it by; of a few classes all must be seen.
+            passed = (out | done)[again] | (now[6][again] == 2)
+        if kept:
+            yield _entry_batch([c[_shared(kept, passed, num, den, True)[0]] for c in kept])
         release_memory()
 
     found = documents.select("text").mapInArrow(entries, _ENTRY)

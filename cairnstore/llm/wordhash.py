@@ -192,17 +192,28 @@ def slices(column: pa.Array, limit: int = 1 << 22) -> Iterator[tuple[int, pa.Arr
         first = last
 
 
-def shingle_sets(column: pa.Array, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def shingle_sets(column: pa.Array, k: int, see: Callable[[np.ndarray], None] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each row its distinct k-word shingles by the first fingerprint and by the second, both sorted.
 
-    Fewer words make one shingle, none an empty set.
+    Fewer words make one shingle, none an empty set. see gets the words' first fingerprints, some rows' at a time.
     """
     for _, part in slices(column):
-        yield from _shingle_sets(part, k)
+        for first, second, _ in _shingle_sets(part, k, see, None):
+            yield first, second
 
 
-def _shingle_sets(column: pa.Array, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def weighed_sets(column: pa.Array, k: int, weight: Callable[[np.ndarray], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """shingle_sets, and the sum of its words' weights for each first fingerprint (0 for a shingle of fewer words)."""
+    for _, part in slices(column):
+        yield from _shingle_sets(part, k, None, weight)
+
+
+def _shingle_sets(column: pa.Array, k: int, see: Callable | None, weight: Callable | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     *both, at = words(column)
+    if see is not None:
+        see(both[0])
+    own = np.zeros(0, np.int64) if weight is None else weight(both[0])
+    heavy = own.copy()
     rolled = []
     for h, step, finish in zip(both, _SHINGLES, (mix, mix_other), strict=True):
         r = h.copy()
@@ -210,14 +221,19 @@ def _shingle_sets(column: pa.Array, k: int) -> Iterator[tuple[np.ndarray, np.nda
             r = r * step
             r[: len(h) - j] += h[j:]
         rolled.append(finish(r))
-    empty = np.zeros(0, np.uint64)
+    for j in range(1, min(k, len(own))):
+        heavy[: len(own) - j] += own[j:]
+    empty, none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-        if b - a >= k:
-            yield np.unique(rolled[0][a : b - k + 1]), np.unique(rolled[1][a : b - k + 1])
+        if b - a >= k and weight is None:
+            yield np.unique(rolled[0][a : b - k + 1]), np.unique(rolled[1][a : b - k + 1]), none
+        elif b - a >= k:
+            first, where = np.unique(rolled[0][a : b - k + 1], return_index=True)
+            yield first, np.unique(rolled[1][a : b - k + 1]), heavy[a + where]
         elif b > a:
-            yield _single(both[0][a:b], _SHINGLES[0], mix), _single(both[1][a:b], _SHINGLES[1], mix_other)
+            yield _single(both[0][a:b], _SHINGLES[0], mix), _single(both[1][a:b], _SHINGLES[1], mix_other), np.zeros(1, np.int64)
         else:
-            yield empty, empty
+            yield empty, empty, none
 
 
 def _single(h: np.ndarray, step: np.uint64, finish: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:

@@ -532,6 +532,19 @@ def test_an_ngram_of_all_documents_makes_no_pairs(spark):
     assert entries.count() == 100_000 and ngram_join.led(entries, 10, 100).count() <= 200_000
 
 
+def test_ngrams_shared_by_chance_leave_no_entries(spark, monkeypatch):
+    # Two sets that can't overlap enough at the one n-gram that they share.
+    texts = [" ".join(["one and the same", *(f"{x}{i}" for i in range(n))]) for x, n in (("a", 40), ("b", 400))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert ngram_join.prefixes(docs, np.zeros(1 << ngram_join.SKETCH_BITS, np.uint8), 4, 10, 100).count() == 0
+    # A sketch far too small for the corpus: n-grams of common words meet often, but rarer ones come first.
+    monkeypatch.setattr(ngram_join, "SKETCH_BITS", 12)
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join([*(f"c{x}" for x in rng.integers(0, 6, 60)), *(f"r{i}x{j}" for j in range(30))])) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert ngram_join.prefixes(docs, ngram_join.rarity(ngram_join.signatures(docs, 4)), 4, 85, 100).count() < 200
+
+
 def test_near_copies_linked_only_through_the_text_they_come_from(spark, monkeypatch):
     rng = np.random.default_rng(8)
     base = [f"b{i}" for i in range(60)]
