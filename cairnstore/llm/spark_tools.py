@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 from ..sources.tables import shared_dir
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write df as Parquet under the shared folder and read it back.
+def materialize(df: DataFrame, **options: str) -> DataFrame:
+    """Cut the lineage: write df as Parquet (with the writer's options) under the shared folder and read it back.
 
     The table outlives the call, since the result is lazy; what the folder holds
     goes when the cluster cleans it (drop() removes one table sooner).
     """
     path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._table_path = path
     return out

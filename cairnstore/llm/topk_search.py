@@ -37,6 +37,12 @@ from .spark_tools import materialize, partitions, row_numbers
 
 #: Rows in a block, routing vectors in it, children of a node, queries in a packet, packets for a block in one unit of work.
 BLOCK, PAGE, FAN, PACKET, PACKETS = 2048, 64, 256, 512, 64
+#: Bytes of queries in a packet (one query at least), and of packets that a task passes on at once.
+PACKET_BYTES, HELD_BYTES = 1 << 16, 1 << 22
+#: Queries of so many bytes at most are broadcast; packets at blocks then name them only.
+SHARED_BYTES = 1 << 26
+#: A packet meets many blocks. A dictionary would write its bytes once, and reading a batch of rows would unfold them all.
+_LARGE_ROWS = {"parquet.enable.dictionary": "false", "parquet.block.size": str(1 << 23)}
 #: Rows in the sample that gives pivots and first bounds, and pivots.
 SAMPLE, PIVOTS = 2048, 1024
 _EXACT = float(1 << 20)
@@ -161,10 +167,28 @@ class Ball:
         return out
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows one by one: blocks and packets are large, and a batch of them in Python objects is several times its size."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield tuple(c[i].as_py() for c in batch.columns)
+
+
 def _matrix(bodies: list[bytes]) -> np.ndarray:
     return np.stack([np.frombuffer(b, np.float64) for b in bodies])
 
 
+def _by_number(queries: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each length the numbers of its queries (query, size, body), sorted, and their vectors."""
+    numbers, sizes, bodies = queries["query"].to_numpy(), queries["size"].to_numpy(), queries["body"].to_pylist()
+    out = {}
+    for size in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == size)
+        at = at[np.argsort(numbers[at])]
+        out[size] = numbers[at], _matrix([bodies[i] for i in at.tolist()])
+    return out
+
+
 def _exact(ids: np.ndarray, x: np.ndarray, q: np.ndarray, k: int) -> Best:
     """The search in Python integers, for components too large for exact float64 products; scores stop at a long's ends."""
     whole, best = [int(v) for v in q], Best(k)
@@ -300,34 +324,39 @@ def descended(queries: DataFrame, levels: list[DataFrame]) -> DataFrame:
         for batch in batches:
             for number, size, body, bound in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 held.setdefault(size, []).append((number, bound, body))
-                if len(held[size]) == PACKET:
+                if len(held[size]) >= min(PACKET, max(1, PACKET_BYTES // (8 * size))):
                     yield packet(size)
         for size in list(held):
             yield packet(size)
 
     def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                size = row["size"]
-                q, bounds = np.frombuffer(row["body"], np.float64).reshape(-1, size), np.array(row["bounds"])
-                centres, radii, apart = (np.frombuffer(row[c], np.float64) for c in ("centres", "radii", "apart"))
-                open_ = Ball.open(np.frombuffer(row["centre"], np.float64), centres.reshape(-1, size), radii, apart, q, bounds)
-                numbers = np.array(row["queries"], np.int64)
-                at = np.flatnonzero(open_.any(axis=0))
-                some = [np.flatnonzero(open_[:, c]) for c in at]
-                columns = [
-                    pa.array([row["children"][c] for c in at], pa.int64()),
-                    pa.array([size] * len(at), pa.int32()),
-                    pa.array([numbers[i].tolist() for i in some], pa.list_(pa.int64())),
-                    pa.array([bounds[i].tolist() for i in some], pa.list_(pa.float64())),
-                    pa.array([q[i].tobytes() for i in some], pa.binary()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=["node", "size", "queries", "bounds", "body"])
+        kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.binary()]
+        names = ["node", "size", "queries", "bounds", "body"]
+        out: list[tuple] = []
+        held = 0
+
+        def passed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+        for size, queries_, bounds_, body, centre, children, *shape in _rows(batches):
+            q, bounds, numbers = np.frombuffer(body, np.float64).reshape(-1, size), np.array(bounds_), np.array(queries_, np.int64)
+            centres, radii, apart = (np.frombuffer(x, np.float64) for x in shape)
+            open_ = Ball.open(np.frombuffer(centre, np.float64), centres.reshape(-1, size), radii, apart, q, bounds)
+            for c in np.flatnonzero(open_.any(axis=0)).tolist():
+                i = np.flatnonzero(open_[:, c])
+                out.append((children[c], size, numbers[i], bounds[i], q[i].tobytes()))
+                held += 8 * (size + 2) * len(i)
+                if held >= HELD_BYTES:
+                    yield passed()
+                    out.clear()
+                    held = 0
+        if out:
+            yield passed()
 
     packets = queries.select("query", "size", "body", "bound").mapInArrow(gather, "size int, queries array<long>, bounds array<double>, body binary")
     packets = packets.join(levels[0].select("size", "node"), "size")
     for pages in levels:
-        met = packets.join(pages.drop("radius", "size"), "node")
+        met = packets.join(pages.drop("radius", "size"), "node").select("size", "queries", "bounds", "body", "centre", "children", "centres", "radii", "apart")
         packets = met.mapInArrow(down, "node long, size int, queries array<long>, bounds array<double>, body binary")
     return packets
 
@@ -366,7 +395,12 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     distinct = materialize(asked.select("x").distinct().withColumn("query", F.monotonically_increasing_id()))
     named = asked.join(distinct, "x").select(F.col("vec_id").alias("query_id"), "query")
     numbered = _packed(distinct.select(F.col("query").alias("vec_id"), "x")).withColumnRenamed("vec_id", "query")
-    packets = materialize(descended(_asked(numbered, sample, k), tree(leaves)))
+    packets = descended(_asked(numbered, sample, k), tree(leaves))
+    known = None
+    if numbered.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).first()[0] <= SHARED_BYTES:
+        known = spark.sparkContext.broadcast(_by_number(numbered.toArrow()))
+        packets = packets.withColumn("body", F.lit(b""))
+    packets = materialize(packets, **_LARGE_ROWS)
     many = packets.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / PACKETS).cast("int").alias("_units"))
     unit = F.pmod(F.xxhash64("queries"), F.col("_units")).cast("int")
     packets = packets.join(many, "node").select("node", unit.alias("unit"), "size", F.lit(1).alias("kind"), F.col("queries").alias("ids"), "bounds", "body")
@@ -376,21 +410,32 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, wide = None, False
-        for batch in batches:
-            out: tuple[list, list, list] = ([], [], [])
-            for _, _, size, kind, ids, bounds, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        out: tuple[list, list, list] = ([], [], [])
+
+        def found() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["query", "vec_id", "score"])
+
+        for _, _, size, kind, ids, bounds, body in _rows(batches):
+            if kind and known is not None:
+                numbers, every = known.value[size]
+                x = every[np.searchsorted(numbers, ids)]
+            else:
                 x = np.frombuffer(body, np.float64).reshape(-1, size)
-                if kind == 0:
-                    block, wide = Tree(np.array(ids, np.int64), x), bool(np.abs(x).max() >= _EXACT)
-                    continue
-                for number, bound, q in zip(ids, bounds, x, strict=True):
-                    exact = wide or np.abs(q).max() >= _EXACT
-                    best = _exact(block.ids, block.x, q, k) if exact else block.search(q, k, bound)
-                    for score, vec_id in best.rows:
-                        out[0].append(number)
-                        out[1].append(vec_id)
-                        out[2].append(int(-score))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["query", "vec_id", "score"])
+            if kind == 0:
+                block, wide = Tree(np.array(ids, np.int64), x), bool(np.abs(x).max() >= _EXACT)
+                continue
+            for number, bound, q in zip(ids, bounds, x, strict=True):
+                exact = wide or np.abs(q).max() >= _EXACT
+                best = _exact(block.ids, block.x, q, k) if exact else block.search(q, k, bound)
+                for score, vec_id in best.rows:
+                    out[0].append(number)
+                    out[1].append(vec_id)
+                    out[2].append(int(-score))
+            if len(out[0]) >= 1 << 14:
+                yield found()
+                for column in out:
+                    column.clear()
+        yield found()
 
     units = blocks.unionByName(packets).repartition(partitions(spark), "node", "unit").sortWithinPartitions("node", "unit", "kind")
     found = units.mapInArrow(search, "query long, vec_id long, score long")

@@ -909,3 +909,23 @@ def test_pipeline(spark, tmp_path):
     packed = corpus_pipeline.STAGES[-1][1](spark, now, sf).toPandas()
     assert sorted(packed[packed.piece == 0].doc_id) == sorted(kept.doc_id)
     assert corpus_pipeline.run(spark, sf).count() == len(packed)
+
+
+def test_packets_of_queries_are_small_and_may_go_without_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.integers(-50, 50, (600, 64)).astype(float)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, x array<double>").coalesce(1)
+    packed = topk_search._packed(rows)
+    sample = {64: x[:100]}
+    leaves = topk_search._leaves(packed, sample)
+    asked = packed.withColumnRenamed("vec_id", "query").withColumn("bound", F.lit(float("-inf")))
+    met = topk_search.descended(asked, topk_search.tree(leaves))
+    most, n = met.agg(F.max(F.octet_length("body")), F.sum(F.size("queries"))).first()
+    assert most <= 1 << 16 and n == 600 * leaves.count()
+    want = []
+    for i in range(0, 600, 60):
+        scores = sorted((-int(x[i] @ x[j]), j) for j in range(600) if j != i)
+        want += [(i, rank + 1, j, -score) for rank, (score, j) in enumerate(scores[:5])]
+    for limit in (1 << 26, 0):
+        monkeypatch.setattr(topk_search, "SHARED_BYTES", limit)
+        assert sorted(tuple(r) for r in topk_search.top_k(rows, rows.where("vec_id % 60 = 0")).collect()) == want
