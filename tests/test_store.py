@@ -394,3 +394,15 @@ def test_rate_limited_writes_back_off(spark, tmp_path):
     with pytest.raises(OSError, match="broken"):
         s._pushed("v0", lambda: (_ for _ in ()).throw(OSError("broken pipe")), waits.append)
     assert len(waits) == 2
+
+
+def test_a_listing_is_shared_out_by_the_columns_it_reads(spark, tmp_path):
+    s = make(spark, tmp_path / "s", sealed=False, avg=KIB)
+    s.put("a", noise(600 * KIB))
+    s.put("b", b"")
+    log = datasource._Log(s.files.root)
+    at = [log.record(v)["manifests"] for v in log.versions()]
+    # Half a megabyte of ids of some hundred chunks would be bytes of manifests, but not of a listing.
+    assert log.weight(at[0]) < sum(f.stat().st_size for f in (tmp_path / "s" / at[0]).rglob("*.parquet")) / 4
+    got = dict(x for name in at for part in range(3) for x in log.manifests(name, part, 3))
+    assert {n: r[:2] for n, r in got.items()} == {r["name"]: (r["size"], r["n_chunks"]) for r in s.ls().collect()}
