@@ -7,6 +7,7 @@ import threading
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cairnstore.functions.sealing import Keys
 from cairnstore.sources import datasource
@@ -178,6 +179,21 @@ def test_budget_and_spread(spark, tmp_path):
     assert {r["id"]: r["spare"] for r in s.stats().collect()} == {"v0": False, "v1": False, "v2": True}
 
 
+def test_many_names_are_joined_not_literals(spark, tmp_path, monkeypatch):
+    s = make(spark, tmp_path / "s", avg=4 * KIB)
+    s.put_batch(spark.sql("SELECT concat('f', id) AS name, CAST(concat('body ', id) AS BINARY) AS content FROM range(300)"))
+    kind, most = type(F.col("name")), []
+    whole = kind.isin
+    monkeypatch.setattr(kind, "isin", lambda self, *x: most.append(len(x[0])) or whole(self, *x))
+    gone = [f"f{k}" for k in range(298)]
+    assert s.read(gone).count() == 298
+    with pytest.raises(StoreError, match="'f300'"):
+        s.remove(*gone, "f300")
+    assert s.tip() == 0 and s.remove(*gone, gone[0]) == 1
+    assert max(most, default=0) <= 100
+    assert [r["name"] for r in s.ls().collect()] == ["f298", "f299"] and s.get("f299") == b"body 299"
+
+
 def filled(spark, path, **more):
     s = make(spark, path, thresholds=(1 << 20, 32 * KIB, 8 << 20), avg=16 * KIB, **more)
     for k in range(4):
