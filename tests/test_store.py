@@ -179,6 +179,28 @@ def test_budget_and_spread(spark, tmp_path):
     assert {r["id"]: r["spare"] for r in s.stats().collect()} == {"v0": False, "v1": False, "v2": True}
 
 
+@pytest.mark.parametrize("sealed", [True, False])
+def test_a_put_that_no_volume_has_room_for_is_split(spark, tmp_path, sealed):
+    s = make(spark, tmp_path / "s", sealed, avg=4 * KIB, thresholds=(150 * KIB, 200 * KIB, 1 << 20), checkpoint_interval=2)
+    bodies = {"a": noise(200 * KIB, 21), "b": noise(100 * KIB, 22)}
+    files = spark.createDataFrame([(n, bytearray(b)) for n, b in bodies.items()], "name string, content binary")
+    done = s.put_batch(files)
+    assert done.committed and done.volume == "v1,v0"
+    used = s.state().used()
+    # The first is filled to less than a chunk, none over its budget, and every chunk is where its manifest says, once.
+    assert 184 * KIB < used["v1"] <= 200 * KIB and sum(used.values()) == done.new_bytes and used["v0"] <= 150 * KIB
+    assert s.chunk_store().count() == s.segment_listing().count() == done.new_chunks
+    assert {r["vol"]: r["n"] for r in s.chunk_store().groupBy("vol").agg(F.sum("clen").alias("n")).collect()} == used
+    assert {n: s.get(n) for n in bodies} == bodies and not s.put_batch(files).committed
+    with pytest.raises(BudgetExhausted):
+        s.put("c", noise(60 * KIB, 23))
+    assert s.tip() == 0
+    # What is left of a split segment moves like any other's.
+    s.remove("a")
+    assert sorted(r["volume"] for r in s.compact(Gates(), force=True)["compacted"]) == ["v0", "v1"]
+    assert s.get("b") == bodies["b"] and set(s.state().used()) == {"v2"}
+
+
 def test_many_names_are_joined_not_literals(spark, tmp_path, monkeypatch):
     s = make(spark, tmp_path / "s", avg=4 * KIB)
     s.put_batch(spark.sql("SELECT concat('f', id) AS name, CAST(concat('body ', id) AS BINARY) AS content FROM range(300)"))
