@@ -402,6 +402,18 @@ def test_streams(spark, tmp_path):
     assert sorted(r["version"] for r in spark.table("tail").collect()) == [0, 1]
 
 
+def test_a_stream_fills_volumes_together(spark, tmp_path):
+    s = make(spark, tmp_path / "s", sealed=False, avg=4 * KIB, thresholds=(100 * KIB, 100 * KIB, 1 << 20))
+    (tmp_path / "in").mkdir()
+    for k in range(3):
+        (tmp_path / "in" / f"f{k}.bin").write_bytes(noise(60 * KIB, 30 + k))
+    files = ingest.folder(spark, str(tmp_path / "in"), per_trigger=1)
+    ingest.ingest(files, s, str(tmp_path / "check"), "load", once=True).awaitTermination(120)
+    used = s.state().used()
+    assert s.tip() == 2 and sum(used.values()) == 180 * KIB and max(used.values()) <= 100 * KIB and "v2" not in used
+    assert {n: s.get(f"f{n}.bin") for n in range(3)} == {n: noise(60 * KIB, 30 + n) for n in range(3)}
+
+
 def test_throttle(spark, tmp_path):
     import time
 
