@@ -360,6 +360,15 @@ def test_orphans_wait_for_the_window(spark, tmp_path):
     assert s.put("a", noise(32 * KIB)).committed and s.get("a") == noise(32 * KIB)
 
 
+def test_a_split_segment_is_swept_as_one(spark, tmp_path):
+    s = make(spark, tmp_path / "s", sealed=False, avg=4 * KIB, thresholds=(60 * KIB, 60 * KIB))
+    with pytest.raises(Stop):
+        Store(spark, str(tmp_path / "s"), None, hook=stop_at("before-cas")).put("a", noise(100 * KIB))
+    assert s.chunk_store().select("vol").distinct().count() == 2
+    assert s.compact(Gates(orphan_window=0))["orphans_swept"] == 1
+    assert s.chunk_store().isEmpty() and s.put("a", noise(100 * KIB)).committed and s.get("a") == noise(100 * KIB)
+
+
 def test_mirror(spark, tmp_path):
     s = make(spark, tmp_path / "s", thresholds=(8 << 20, 8 << 20))
     for k in range(3):
