@@ -201,6 +201,68 @@ def test_a_put_that_no_volume_has_room_for_is_split(spark, tmp_path, sealed):
     assert s.get("b") == bodies["b"] and set(s.state().used()) == {"v2"}
 
 
+def words(n, seed=1):
+    """Text that compresses to about half."""
+    rows = np.random.default_rng(seed).integers(0, 16, n // 2, dtype=np.uint8)
+    return rows.tobytes().hex().encode()[:n]
+
+
+def test_a_plain_budget_bounds_what_is_stored(spark, tmp_path):
+    s = make(spark, tmp_path / "s", sealed=False, avg=4 * KIB, thresholds=(100 * KIB, 100 * KIB, 1 << 20), checkpoint_interval=2)
+    bodies = {"a": words(180 * KIB, 1), "b": words(180 * KIB, 2), "c": noise(20 * KIB, 3)}
+    done = [s.put(n, b) for n, b in bodies.items()]
+    assert [d.new_bytes for d in done] == [180 * KIB, 180 * KIB, 20 * KIB] and [d.volume for d in done] == ["v0", "v1", "v0"]
+    # The index and the listing count chunks as they were cut; budgets and utilization what is stored.
+    assert s.state().used() == {"v0": 200 * KIB, "v1": 180 * KIB}
+    kept = {r["vol"]: r["n"] for r in s.chunk_store().groupBy("vol").agg(F.sum(F.octet_length("ciphertext")).alias("n")).collect()}
+    assert s.state().held() == kept and max(kept.values()) <= 100 * KIB
+    assert s.segment_listing().agg(F.sum("bytes")).first()[0] == 380 * KIB
+    assert [r["utilization"] for r in s.stats().collect()] == [kept["v0"] / (100 * KIB), kept["v1"] / (100 * KIB), 0.0]
+    with pytest.raises(BudgetExhausted):
+        s.put("d", noise(60 * KIB, 4))
+    s.remove("a")
+    assert [r["volume"] for r in s.compact(Gates(), force=True)["compacted"]] == ["v0"]
+    assert 20 * KIB == s.state().held()["v2"] and s.get("b") == bodies["b"] and s.get("c") == bodies["c"]
+    assert s.put("a", bodies["a"]).volume == "v0" and s.get("a") == bodies["a"]
+
+
+def test_a_plain_chunk_that_was_changed_is_loud(spark, tmp_path):
+    s = make(spark, tmp_path / "s", sealed=False, avg=4 * KIB)
+    s.put("a", words(3 * KIB) + noise(40 * KIB))
+    (vol, seg), = s.state().seals
+    s.chunk_store().write.parquet(f"{tmp_path}/whole")
+    whole = spark.read.parquet(f"{tmp_path}/whole")
+    at = f"{tmp_path}/s/volumes/{vol}/seg={seg}"
+    for cut in ("ciphertext || X'00'", "substring(ciphertext, 1, octet_length(ciphertext) - 9)", "concat(substring(ciphertext, 1, octet_length(ciphertext) - 1), X'00')", "X''"):
+        whole.withColumn("ciphertext", F.expr(cut)).write.mode("overwrite").parquet(at)
+        with pytest.raises(StoreError, match="another length|doesn't open|doesn't have its id"):
+            s.get("a")
+    whole.write.mode("overwrite").parquet(at)
+    assert s.get("a") == words(3 * KIB) + noise(40 * KIB)
+
+
+def test_plain_segments_of_before_are_read(spark, tmp_path):
+    """Chunks that aren't compressed, and records that don't say what is stored."""
+    import json
+
+    s = make(spark, tmp_path / "s", sealed=False, avg=4 * KIB)
+    body = words(50 * KIB)
+    s.put("a", body)
+    (vol, seg), = s.state().seals
+    raw = s.chunk_store().join(s.read().select("data", F.sha2("data", 256).alias("chunk_id")), "chunk_id")
+    raw = raw.select("vol", "seg", "chunk_id", "plaintext_hash", "len", "clen", F.col("data").alias("ciphertext"))
+    raw.write.parquet(f"{tmp_path}/raw")
+    raw = spark.read.parquet(f"{tmp_path}/raw")
+    assert raw.count() == s.chunk_store().count()
+    raw.write.mode("overwrite").parquet(f"{tmp_path}/s/volumes/{vol}/seg={seg}")
+    record = tmp_path / "s" / "log" / f"{0:020d}.json"
+    old = json.loads(record.read_text())
+    del old["seals"][0]["stored"]
+    record.write_text(json.dumps(old))
+    (tmp_path / "s" / "log" / f".{0:020d}.json.crc").unlink(missing_ok=True)
+    assert s.get("a") == body and s.state().held() == s.state().used() == {"v0": 50 * KIB}
+
+
 def test_many_names_are_joined_not_literals(spark, tmp_path, monkeypatch):
     s = make(spark, tmp_path / "s", avg=4 * KIB)
     s.put_batch(spark.sql("SELECT concat('f', id) AS name, CAST(concat('body ', id) AS BINARY) AS content FROM range(300)"))
