@@ -79,7 +79,7 @@ def tight(monkeypatch):
 made = {}
 
 
-@pytest.mark.parametrize("key", ["store_put_stats", "store_segment_listing", "store_tail"])
+@pytest.mark.parametrize("key", ["store_put_stats", "store_segment_listing", "store_tail", "store_seg_index"])
 def test_a_plain_store_may_list_more_than_its_budgets(spark, sf_dir, duck, tight, key):
     """The third put and the pages have more bytes than the room there is, and less as they are stored."""
     tight(192, 192, 512)
