@@ -86,3 +86,8 @@ def test_a_plain_store_may_list_more_than_its_budgets(spark, sf_dir, duck, tight
     assert same_as_sql(spark, sf_dir, duck, key)
     s = stored.store(spark, sf_dir, False)[0].state()
     assert sum(s.used().values()) > 2 * 192 << 10 and max(s.held().values()) <= 192 << 10
+
+
+def test_an_ingest_is_bounded_by_what_is_stored(spark, sf_dir, duck, tight):
+    tight(64, 64, 512)
+    assert same_as_sql(spark, sf_dir, duck, "store_ingest")

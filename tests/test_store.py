@@ -485,6 +485,17 @@ def test_a_stream_fills_volumes_together(spark, tmp_path):
     assert {n: s.get(f"f{n}.bin") for n in range(3)} == {n: noise(60 * KIB, 30 + n) for n in range(3)}
 
 
+def test_a_stream_is_bounded_by_what_is_stored(spark, tmp_path):
+    s = make(spark, tmp_path / "s", sealed=False, avg=4 * KIB, thresholds=(100 * KIB, 100 * KIB, 1 << 20))
+    (tmp_path / "in").mkdir()
+    for k in range(3):
+        (tmp_path / "in" / f"f{k}.bin").write_bytes(words(90 * KIB, 30 + k))
+    files = ingest.folder(spark, str(tmp_path / "in"), per_trigger=1)
+    ingest.ingest(files, s, str(tmp_path / "check"), "load", once=True).awaitTermination(120)
+    assert s.tip() == 2 and sum(s.state().used().values()) == 270 * KIB and max(s.state().held().values()) <= 100 * KIB
+    assert {n: s.get(f"f{n}.bin") for n in range(3)} == {n: words(90 * KIB, 30 + n) for n in range(3)}
+
+
 def test_throttle(spark, tmp_path):
     import time
 
