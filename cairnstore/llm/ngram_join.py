@@ -17,10 +17,12 @@ meet by one 64-bit fingerprint and are verified by another, independent one.
     every n-gram that they share. That is all pairs of up to three classes, and one
     or two pairs for each entry of a crowd; copies of one text end in one component.
 4.  What is left are n-grams where more than three classes of several components
-    meet. Up to CROWD of them are paired. Larger crowds are chained by length, and
-    what hangs together is cut into blocks of bounded size by length; each pair of
-    blocks whose lengths allow it is one unit of work, in which pairs of different
-    components are counted through an inverted index.
+    meet. Up to CROWD of them are paired. In larger crowds pairs are listed too, of
+    PAIRED classes at most, and those that all filters pass tie their ends together;
+    still larger crowds are chained by length. What hangs together is cut into blocks
+    of bounded size by length; each pair of blocks whose lengths allow it is one unit
+    of work, in which pairs of different components are counted through an inverted
+    index. So long texts that only share n-grams by chance don't meet in blocks.
 
 A pair is made at an n-gram only if the set sizes beyond its places there allow the
 overlap (length and positional filter; a link passes at its first common n-gram). It
@@ -55,6 +57,8 @@ _CHUNK = 1 << 12
 HELD = 1 << 18
 #: More documents than this at one n-gram are a crowd.
 CROWD = 16
+#: In a crowd of so many at most pairs are listed to see what hangs together; the pairs listed at one n-gram are at most half the square.
+PAIRED = 512
 #: Sets that are verified against one other in a unit, about.
 UNIT = 256
 #: Documents and n-grams in a block at most (a longer document is a block of its own).
@@ -418,13 +422,17 @@ def verified(documents: DataFrame, classes: DataFrame, pairs: DataFrame, k: int,
 
 
 def paired(entries: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): the pairs of different components at n-grams with CROWD classes at most."""
+    """(a, b): the pairs of different components at each n-gram that fit, for n-grams with a bounded number of classes."""
     row = F.struct("class", "n", "at", "component")
     groups = entries.groupBy("h").agg(F.collect_set(row).alias("all"))
     both = groups.select("all", F.explode("all").alias("x"))
-    both = both.select("x", F.explode(F.filter("all", lambda y: y["class"] > F.col("x.class"))).alias("y"))
-    both = both.select(*[F.col(f"{x}.{c}").alias(f"{c}_{side}") for x, side in (("x", "a"), ("y", "b")) for c in ("class", "n", "at", "component")])
-    return both.where(_fits(num, den) & (F.col("component_a") != F.col("component_b"))).select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
+
+    def fits(y: Column) -> Column:
+        other = (y["class"] > F.col("x.class")) & (y["component"] != F.col("x.component"))
+        return other & (F.least(F.col("x.n") - F.col("x.at"), y["n"] - y["at"]) * (num + den) >= (F.col("x.n") + y["n"]) * num)
+
+    both = both.select("x", F.explode(F.filter("all", fits)).alias("y"))
+    return both.select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
 
 
 def chained(entries: DataFrame, num: int, den: int) -> DataFrame:
@@ -492,10 +500,10 @@ def verify(sets: list[np.ndarray], side: np.ndarray, num: int, den: int, known:
             yield i, j
 
 
-def crowded(documents: DataFrame, classes: DataFrame, entries: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) between the components at n-grams of many classes, a forest of them: blocks of what hangs together, by length."""
+def crowded(documents: DataFrame, classes: DataFrame, entries: DataFrame, edges: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) between the components at n-grams of many classes, a forest of them: blocks of what edges (a, b) tie together, by length."""
     spark = documents.sparkSession
-    clusters = components(chained(entries, num, den))
+    clusters = components(edges)
     own = entries.select("class", "n", F.col("component").alias("known")).distinct()
     members = own.join(clusters, own["class"] == clusters["node"]).select("class", "n", "known", F.col("component").alias("cluster"))
     numbered, _ = row_numbers(members, [F.col("cluster"), F.col("n"), F.col("class")], "_number")
@@ -558,13 +566,19 @@ def links(documents: DataFrame, classes: DataFrame, order: np.ndarray, k: int, n
     many = labelled.groupBy("h").agg(F.min("component").alias("_one"), F.max("component").alias("_other"), F.count(F.lit(1)).alias("_count"))
     many = many.where("_one != _other AND _count > 3").select("h", "_count")
     left = materialize(labelled.join(many, "h"))
-    few = paired(left.where(F.col("_count") <= CROWD).drop("_count"), num, den).distinct()
     again = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    few = materialize(fitting(few.join(again, ["a", "b"], "left_anti"), classes, num, den))
+
+    def listed(some: Column) -> DataFrame:
+        return fitting(paired(left.where(some), num, den).join(again, ["a", "b"], "left_anti"), classes, num, den)
+
+    few = materialize(listed(F.col("_count") <= CROWD))
     if not few.isEmpty():
         found = found.unionByName(verified(documents, classes, few, k, num, den))
     crowds = left.where(F.col("_count") > CROWD)
-    return found if crowds.isEmpty() else found.unionByName(crowded(documents, classes, crowds, k, num, den))
+    if crowds.isEmpty():
+        return found
+    edges = listed(F.col("_count").between(CROWD + 1, PAIRED)).unionByName(chained(left.where(F.col("_count") > max(CROWD, PAIRED)), num, den))
+    return found.unionByName(crowded(documents, classes, crowds, edges, k, num, den))
 
 
 def ngram_components(documents: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:

@@ -558,6 +558,29 @@ def test_near_copies_linked_only_through_the_text_they_come_from(spark, monkeypa
     assert {r["component_id"] for r in got.collect()} == {0}
 
 
+@pytest.mark.parametrize("paired", [3, 20, 512])
+def test_crowds_are_listed_or_cut_into_blocks(spark, monkeypatch, paired):
+    data = corpus(3, 200)
+    for name, value in {"BLOCK_DOCS": 16, "CROWD": 3, "PAIRED": paired}.items():
+        monkeypatch.setattr(ngram_join, name, value)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_components(spark.createDataFrame(data, "doc_id long, text string"), 4, 85, 100).collect()}
+    want = brute_components([i for i, _ in data], [shingles(t, 4) for _, t in data], 85, 100)
+    assert got == {i: c for (i, _), c in zip(data, want, strict=True)}
+
+
+@pytest.mark.parametrize(("k", "num"), [(4, 85), (5, 80)])
+def test_texts_that_share_ngrams_by_chance_meet_in_no_block(spark, monkeypatch, k, num):
+    """Long texts with 40 passages in common, an eighth of each text: as a crowd their sets were all fetched, to be compared with each other."""
+    passages = [" ".join(f"p{p}x{j}" for j in range(k)) for p in range(40)]
+    rows = [(i, " ".join(x for p in passages for x in (p, *(f"r{i}y{p[:4]}{j}" for j in range(5))))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    fetched, sets = [], ngram_join._sets
+    monkeypatch.setattr(ngram_join, "_sets", lambda d, c, wanted, k: fetched.append(wanted.count()) or sets(d, c, wanted, k))
+    monkeypatch.setattr(ngram_join, "rarity", lambda signed: np.zeros(1 << ngram_join.SKETCH_BITS, np.uint8))
+    got = ngram_join.ngram_components(docs, k, num, 100)
+    assert all(r["component_id"] == r["doc_id"] for r in got.collect()) and sum(fetched) == 0
+
+
 def test_documents_without_ids_are_told_apart_by_their_texts(spark):
     rows = [(None, " ".join(f"{k // 2}w{j}" for j in range(40)) + " end" * (k % 2)) for k in range(60)]
     kept = ngram_join.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, 100)
